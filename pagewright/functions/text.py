@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: White space of all scripts, and what ends a line, as Java character classes.
 SPACE = r"\s\x1c-\x1f\x85\p{Z}"
-LINE_END = r"\n\r\x0b\x0c\x1c-\x1e\x85  "
+LINE_END = r"\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}"
 
 
 def col(c: Column | str) -> Column:
