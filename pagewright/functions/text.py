@@ -26,6 +26,22 @@ def not_blank(canon: Column | str) -> Column:
     return F.coalesce(F.length(col(canon)) > 0, F.lit(False))
 
 
+def plain_space(c: Column | str) -> Column:
+    """White space of all scripts as U+0020, line ends as U+000A, each CR LF as one.
+
+    ASCII texts without control characters, the common case, are returned as they are;
+    the others go through plain replacements, which are cheaper than one pattern.
+    """
+    text = col(c)
+    plain = (F.octet_length(text) == F.length(text)) & ~F.regexp(text, F.lit(r"[\x00-\x09\x0b-\x1f\x7f]"))
+    other = F.replace(text, F.lit("\r\n"), F.lit("\n"))
+    for end in map(chr, [*range(11, 14), *range(28, 31), 0x85, 0x2028, 0x2029]):
+        other = F.replace(other, F.lit(end), F.lit("\n"))
+    for space in map(chr, [9, 31, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]):
+        other = F.replace(other, F.lit(space), F.lit(" "))
+    return F.when(plain, text).otherwise(other)
+
+
 def strip(c: Column | str) -> Column:
     """Without white space of any script at either end (F.trim takes U+0020 only)."""
     return F.regexp_replace(col(c), rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
