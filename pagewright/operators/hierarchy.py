@@ -346,3 +346,50 @@ def roots(concepts: DataFrame, bound: int = PACK_ROWS) -> DataFrame:
     if over is not None:
         found = found.union(reached_by_rounds(over, links))
     return found
+
+
+def node_table(concepts: DataFrame, bound: int = PACK_ROWS) -> DataFrame:
+    """concept_id, depth, path (ids of the longest way down from a root, loops by their smallest), n_roots, n_below, in_loop, chain, place.
+
+    Nodes of components over the bound come without path, chain and place: there only
+    roots are found (see roots); their other columns are null.
+    """
+    solved, over, links = hierarchy(concepts, bound)
+    rows = solved.select(
+        F.col("id").alias("concept_id"), "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"),
+        F.size("roots").alias("n_roots"), F.size("below").cast("bigint").alias("n_below"), "in_loop", "chain", "place")
+    if over is None:
+        return rows
+    counts = reached_by_rounds(over, links).groupBy(F.col("id").alias("concept_id")).agg(F.count(F.lit(1)).cast("int").alias("n_roots"))
+    return rows.unionByName(counts, allowMissingColumns=True)
+
+
+def descendants(concepts: DataFrame, bound: int = PACK_ROWS) -> DataFrame:
+    """(concept_id, below_id): each node with every node that builds on it; nodes of a loop build on each other and themselves.
+
+    Within packs these are the parts of chains below the node; in components over the
+    bound, links are followed round by round.
+    """
+    solved, over, links = hierarchy(concepts, bound)
+    found = solved.select(F.col("id").alias("concept_id"), F.explode("below").alias("below_id"))
+    if over is None:
+        return found
+    links = materialize(links.join(over, "id", "left_semi").select(F.col("parent").alias("concept_id"), F.col("id").alias("below_id")).distinct())
+    all_ = edge = links
+    while True:
+        step = edge.select("concept_id", F.col("below_id").alias("mid")).join(links.withColumnRenamed("concept_id", "mid"), "mid").select("concept_id", "below_id").distinct()
+        edge = materialize(step.join(all_, ["concept_id", "below_id"], "left_anti"))
+        if edge.isEmpty():
+            return found.union(all_)
+        all_ = materialize(all_.union(edge))
+
+
+def loop_table(concepts: DataFrame, bound: int = PACK_ROWS) -> DataFrame:
+    """(loop_id, concept_id): the nodes of every loop; loop_id is the smallest. Loops of components over the bound are found as mutual descendants."""
+    solved, over, _ = hierarchy(concepts, bound)
+    found = solved.filter("in_loop").select(F.col("vertex").alias("loop_id"), F.col("id").alias("concept_id"))
+    if over is None:
+        return found
+    pairs = materialize(descendants(concepts, bound).join(over.withColumnRenamed("id", "concept_id"), "concept_id", "left_semi"))
+    back = pairs.select(F.col("below_id").alias("concept_id"), F.col("concept_id").alias("below_id"))
+    return found.union(pairs.join(back, ["concept_id", "below_id"]).groupBy("concept_id").agg(F.min("below_id").alias("loop_id")).select("loop_id", "concept_id"))
