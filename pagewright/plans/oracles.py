@@ -91,7 +91,7 @@ def keyword_input(x: str) -> str:
 
 TOKENS = CHUNK_TEXT + rf""", tokens AS (
   SELECT doc_id, chunk_index, list_filter(regexp_extract_all(lower({keyword_input('chunk_text')}), '[\p{{L}}\p{{N}}_]{{2,}}'),
-    lambda t: NOT list_contains((SELECT list(lower(word)) FROM stop_words), t)) AS ts FROM chunk_texts
+    lambda t: NOT list_contains(stops, t)) AS ts FROM chunk_texts, (SELECT list(lower(word)) AS stops FROM stop_words)
 ), candidates AS (
   SELECT DISTINCT doc_id, chunk_index, array_to_string(ts[i:i + k - 1], ' ') AS term
   FROM (SELECT doc_id, chunk_index, ts, k, unnest(range(1, len(ts) - k + 2)) AS i FROM tokens, (VALUES (1), (2), (3)) AS v(k))
@@ -180,10 +180,10 @@ WITH m AS (SELECT a.label, count(*) AS n2, avg(list_sum(list_transform(range(1,
 k AS (SELECT label, sqrt(n2)::BIGINT AS n_members, round(CASE WHEN n2 > 1 THEN c ELSE 0 END, 6) AS coherence FROM m)"""
     report = f"""
 WITH {TERMS}, g AS (
-  SELECT doc_id, chunk_index, left(term, 1) AS letter, min(ord) AS cluster_ord, first(term ORDER BY score DESC, ord) AS name,
-    string_agg('      ' || term || ': ' || printf('%.3f', round(score, 3)) || chr(10), '' ORDER BY score DESC, ord, term) AS body FROM terms WHERE term <> '' GROUP BY ALL)
+  SELECT doc_id, chunk_index, left(term, 1) AS letter, min(ord) AS cluster_ord, first(term ORDER BY score DESC, ord, term) AS name,
+    string_agg('      ' || term || ': ' || printf('%.3f', round(score::DECIMAL(18, 9), 3)::DOUBLE) || chr(10), '' ORDER BY score DESC, ord, term) AS body FROM terms WHERE term <> '' GROUP BY ALL)
 SELECT g.doc_id, g.chunk_index, chr(10) || '===== KEYWORD CLUSTERS FOR ' || label || ' =====' || chr(10)
-  || string_agg(chr(10) || '  [' || upper(name) || ']' || chr(10) || body, '' ORDER BY cluster_ord, name) AS report FROM g JOIN labels USING (doc_id, chunk_index) GROUP BY g.doc_id, g.chunk_index, label"""
+  || string_agg(chr(10) || '  [' || upper(name) || ']' || chr(10) || body, '' ORDER BY cluster_ord, '[' || upper(name) || ']' || body) AS report FROM g JOIN labels USING (doc_id, chunk_index) GROUP BY g.doc_id, g.chunk_index, label"""
     return {
         "p2_found": ORPHANS + " SELECT src_table, src_id, ref_pos FROM o WHERE NOT answered",
         "p2_months": ORPHANS + " SELECT src_table, strftime(tm AT TIME ZONE 'UTC', '%Y-%m') AS month, count(*) AS n_refs, count(*) FILTER (NOT answered) AS n_orphans FROM o GROUP BY ALL",
@@ -225,7 +225,7 @@ SELECT g.doc_id, g.chunk_index, chr(10) || '===== KEYWORD CLUSTERS FOR ' || labe
             SELECT doc_id, page, round(sim, 6) AS cosine, round(greatest(1 - sim, 0), 6) AS distance FROM c""",
         "cluster_count": f"WITH {TERMS} SELECT doc_id, chunk_index, count(*) AS n_terms, greatest(2, least(count(*) // 3, count(*) - 1)) AS n_clusters FROM terms GROUP BY doc_id, chunk_index",
         "cluster_coherence": coherence + " SELECT label, n_members, coherence FROM k",
-        "coherent_labels": coherence + " SELECT label FROM k WHERE coherence >= 0.03",
+        "coherent_documents": coherence.replace("embeddings", "(SELECT doc_id AS label, embedding FROM page_index WHERE embedding IS NOT NULL)") + " SELECT label AS doc_id, n_members, coherence FROM k WHERE coherence >= 0.05",
         "cluster_report": report,
         "prompt": f"""WITH {CLEAN}{TOC}, {TERMS.strip()}, toc_text AS (SELECT doc_id, string_agg(text || chr(10), '' ORDER BY page_number) AS t FROM block JOIN texts USING (doc_id, page_number) WHERE in_toc_block GROUP BY doc_id),
             sec AS (SELECT l.doc_id, l.chunk_index, chr(10) || '  ' || label || chr(10) || coalesce(string_agg('    - ' || term || chr(10), '' ORDER BY ord, term), '') AS s FROM labels l LEFT JOIN terms USING (doc_id, chunk_index) GROUP BY l.doc_id, l.chunk_index, label),

@@ -102,7 +102,8 @@ def queries() -> dict[str, Query]:
         "cluster_count": lambda s, d: keywords.cluster_count(table(s, d, "keywords")),
         "keyword_clusters": lambda s, d: keywords.keyword_clusters(table(s, d, "keywords")),
         "cluster_coherence": lambda s, d: keywords.cluster_coherence(table(s, d, "embeddings")),
-        "coherent_labels": lambda s, d: keywords.cluster_coherence(table(s, d, "embeddings")).filter(F.col("coherence") >= 0.03).select("label"),
+        "coherent_documents": lambda s, d: keywords.cluster_coherence(table(s, d, "page_index", "doc_id", "embedding"), "doc_id").filter(
+            F.col("coherence") >= 0.05),  # a low bar: page vectors of one document differ
         "cluster_report": lambda s, d: reports.cluster_report(listed_clusters(s, d)),
         "prompt": prompt_inputs,
         "verify_concepts": lambda s, d: concepts.verification(
