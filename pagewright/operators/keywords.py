@@ -36,14 +36,36 @@ def ngram_candidates(tokens: DataFrame, n: int = NGRAMS) -> DataFrame:
 
 
 def score_candidates(tokens: DataFrame) -> DataFrame:
-    """doc_id, chunk_index, term, score: cosine of the candidate's and the chunk's word counts, 4 places (the offline provider)."""
-    counts = tokens.select("doc_id", "chunk_index", F.explode("tokens").alias("word")).groupBy("doc_id", "chunk_index", "word").agg(F.count(F.lit(1)).alias("tf"))
-    norm = counts.groupBy("doc_id", "chunk_index").agg(F.sum(F.col("tf") * F.col("tf")).alias("norm"))
-    own = ngram_candidates(tokens).withColumn("word", F.explode(F.split("term", " "))).groupBy("doc_id", "chunk_index", "term", "word").agg(F.count(F.lit(1)).alias("own"))
-    met = own.join(counts, ["doc_id", "chunk_index", "word"]).groupBy("doc_id", "chunk_index", "term").agg(
-        F.sum(F.col("own") * F.col("tf")).alias("dot"), F.sum(F.col("own") * F.col("own")).alias("own_norm"))
-    score = F.col("dot").cast("double") / F.sqrt(F.col("own_norm").cast("double") * F.col("norm"))
-    return met.join(norm, ["doc_id", "chunk_index"]).select("doc_id", "chunk_index", "term", F.round(score, 4).alias("score"))
+    """doc_id, chunk_index, term, score: cosine of the candidate's and the chunk's word counts, 4 places (the offline provider).
+
+    One shuffle by chunk: every later step keys on the chunk and more. A candidate's
+    dot product is the sum of its positions' counts, and its own norm follows from
+    which of its words are equal.
+    """
+    spread = tokens.repartition("doc_id", "chunk_index").select("doc_id", "chunk_index", F.posexplode_outer("tokens").alias("pos", "w0")).filter("w0 IS NOT NULL")
+    chunk = Window.partitionBy("doc_id", "chunk_index")
+    at = spread.withColumn("f0", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "chunk_index", "w0")))
+    at = at.withColumn("norm", F.sum("f0").over(chunk))
+    for k in range(1, NGRAMS):
+        for c in ("w", "f"):
+            at = at.withColumn(f"{c}{k}", F.lead(f"{c}0", k).over(chunk.orderBy("pos")))
+
+    def gram(k: int) -> F.Column:
+        words, places = [F.col(f"w{i}") for i in range(k)], range(k)
+        own = F.lit(k)
+        for a in places:
+            for b in range(a + 1, k):
+                own = own + F.when(words[a] == words[b], 2).otherwise(0)
+        total = F.col("f0")
+        for i in range(1, k):
+            total = total + F.col(f"f{i}")
+        # A run that the chunk's end cuts has a null total.
+        return F.struct(F.concat_ws(" ", *words).alias("term"), total.alias("dot"), own.alias("own"))
+
+    grams = at.select("doc_id", "chunk_index", "norm", F.explode(F.array(*(gram(k) for k in range(1, NGRAMS + 1)))).alias("g")).filter("g.dot IS NOT NULL")
+    best = grams.groupBy("doc_id", "chunk_index", F.col("g.term").alias("term")).agg(F.max("g.dot").alias("dot"), F.max("g.own").alias("own"), F.max("norm").alias("norm"))
+    score = F.col("dot").cast("double") / F.sqrt(F.col("own").cast("double") * F.col("norm"))
+    return best.select("doc_id", "chunk_index", "term", F.round(score, 4).alias("score"))
 
 
 def topk_keywords(tokens: DataFrame, top: int = TOP) -> DataFrame:
@@ -70,12 +92,17 @@ def average_linkage(vectors: np.ndarray, n_clusters: int) -> list[int]:
     norms = np.linalg.norm(vectors, axis=1)
     unit = vectors / np.where(norms > 0, norms, 1)[:, None]
     dist = np.clip(1 - unit @ unit.T, 0, None).round(12)
+    # Rows and columns stay in order of their first member, so the first smallest entry is the pair to merge.
     members = [[i] for i in range(len(vectors))]
+    np.fill_diagonal(dist, np.inf)
     while len(members) > max(n_clusters, 1):
-        pairs = ((dist[np.ix_(a, b)].mean().round(12), a[0], b[0], i, j) for i, a in enumerate(members) for j, b in enumerate(members) if i < j)
-        *_, i, j = min(pairs)
-        members[i] = sorted(members[i] + members.pop(j))
-        members.sort(key=lambda m: m[0])
+        i, j = sorted(divmod(int(dist.round(12).argmin()), len(members)))
+        a, b = len(members[i]), len(members[j])
+        row = (a * dist[i] + b * dist[j]) / (a + b)
+        dist[i], dist[:, i] = row, row
+        dist[i, i] = np.inf
+        dist = np.delete(np.delete(dist, j, 0), j, 1)
+        members[i] += members.pop(j)
     out = [0] * len(vectors)
     for k, m in enumerate(members):
         for i in m:
