@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -118,23 +120,27 @@ def keyword_clusters(keywords: DataFrame, threshold: float = COHERENCE) -> DataF
     never coherent.
     """
     rows = distinct_keywords(keywords).withColumn("embedding", hashed_embedding(F.split("term", " ")))
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ord", "term"]).reset_index(drop=True)
-        n = len(pdf)
-        vectors = np.array(pdf["embedding"].tolist(), dtype=float)
-        labels = average_linkage(vectors, max(2, min(n // 3, n - 1)))
-        out = []
-        for k in range(max(labels) + 1):
-            at = sorted((i for i in range(n) if labels[i] == k), key=lambda i: (-pdf["score"][i], i))
-            norms = np.linalg.norm(vectors[at], axis=1)
-            total = (vectors[at] / np.where(norms > 0, norms, 1)[:, None]).sum(axis=0)
-            coherence = float(total @ total) / len(at) ** 2 if len(at) > 1 else 0.0
-            if coherence >= threshold:
-                out.append((pdf["doc_id"][0], pdf["chunk_index"][0], k, pdf["term"][at[0]], pdf["term"][at].tolist(), pdf["score"][at].tolist(), round(coherence, 6)))
-        return pd.DataFrame(out, columns=["doc_id", "chunk_index", "cluster_ord", "name", "terms", "scores", "coherence"])
-
-    return rows.groupBy("doc_id", "chunk_index").applyInPandas(
+    chunks = rows.groupBy("doc_id", "chunk_index").agg(F.array_sort(F.collect_list(F.struct("ord", "term", "score", "embedding"))).alias("members"))
+
+    def cluster(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc_id, index, members in zip(batch["doc_id"], batch["chunk_index"], batch["members"]):
+                n = len(members)
+                terms, scores = [m["term"] for m in members], [m["score"] for m in members]
+                vectors = np.array([m["embedding"] for m in members], dtype=float)
+                norms = np.linalg.norm(vectors, axis=1)
+                unit = vectors / np.where(norms > 0, norms, 1)[:, None]
+                labels = average_linkage(vectors, max(2, min(n // 3, n - 1)))
+                for k in range(max(labels) + 1):
+                    at = sorted((i for i in range(n) if labels[i] == k), key=lambda i: (-scores[i], i))
+                    total = unit[at].sum(axis=0)
+                    coherence = float(total @ total) / len(at) ** 2 if len(at) > 1 else 0.0
+                    if coherence >= threshold:
+                        out.append((doc_id, index, k, terms[at[0]], [terms[i] for i in at], [scores[i] for i in at], round(coherence, 6)))
+            yield pd.DataFrame(out, columns=["doc_id", "chunk_index", "cluster_ord", "name", "terms", "scores", "coherence"])
+
+    return chunks.mapInPandas(
         cluster, "doc_id string, chunk_index int, cluster_ord int, name string, terms array<string>, scores array<double>, coherence double")
 
 
