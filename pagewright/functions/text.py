@@ -43,8 +43,13 @@ def plain_space(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """Without white space of any script at either end (F.trim takes U+0020 only)."""
-    return F.regexp_replace(col(c), rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    """Without white space of any script at either end (F.trim takes U+0020 only).
+
+    Most texts end in none once trimmed: only their outermost characters are tested.
+    """
+    t = F.trim(col(c))
+    ends = F.concat(F.left(t, F.lit(1)), F.right(t, F.lit(1)))
+    return F.when(F.regexp(ends, F.lit(rf"[{SPACE}]")), F.regexp_replace(t, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")).otherwise(t)
 
 
 def lines(c: Column | str) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,14 +14,19 @@ from pagewright.functions.text import col, strip
 JUNK_GLYPHS = "\ufffd\u25a0\u25cf\u2022\u00b7\u2013\u2014\u00a0"
 LEGAL_HEADS = "credits|copyright notice|licensing information|creative commons attribution"
 BAD_PHRASES = (
-    "copyright|creative commons|licen[sc]ed|open up resources|illustrative mathematics|core knowledge|photo credits|"
-    "illustration|all rights reserved|do not reproduce|may not be reproduced|for classroom use|©"
+    "copyright", "creative commons", "licensed", "licenced", "open up resources", "illustrative mathematics", "core knowledge", "photo credits",
+    "illustration", "all rights reserved", "do not reproduce", "may not be reproduced", "for classroom use", "©",
 )
 BAD_KEYWORDS = "students?|teacher|activity|lesson|work|discussion|group|practice|example|problem|page"
-TOC_HEADS = "table of contents|unit overview|section overview|concept overview"
+TOC_HEADS = ("table of contents", "unit overview", "section overview", "concept overview")
 MIN_ALPHA, ALPHA_SHARE = 5, 0.4
 
 
+def holds(text: Column, phrases: tuple[str, ...]) -> Column:
+    """Whether a text holds one of the phrases: plain searches, cheaper than a pattern of alternatives."""
+    return reduce(or_, (F.contains(text, F.lit(p)) for p in phrases))
+
+
 def lines_of(text: Column | str) -> Column:
     """Stripped lines of a text once line ends, control characters, glyphs, leaders and legal blocks are dealt with.
 
@@ -41,7 +49,7 @@ def kept_line(line: Column) -> Column:
     alpha = F.length(F.regexp_replace(line, r"[^\p{L}]+", ""))
     return (
         ~F.regexp(low, F.lit(r"(?U)^(?:grade|unit|lesson|page)\s*\d+$"))
-        & ~F.regexp(low, F.lit(BAD_PHRASES))
+        & ~holds(low, BAD_PHRASES)
         & (alpha >= MIN_ALPHA)
         & (alpha.cast("double") / F.greatest(F.length(line), F.lit(1)) > ALPHA_SHARE)
     )
@@ -99,7 +107,9 @@ def strip_fences(raw: Column | str) -> Column:
 def is_toc(raw: Column | str) -> Column:
     """A contents page: a head phrase, or three lines or more that end in leaders and a number."""
     shaped = F.filter(F.split(col(raw), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"), lambda x: F.regexp(x, F.lit(r"(?U)^.{5,}[.\s]{3}\d+\s*$")))
-    return F.regexp(col(raw), F.lit(rf"(?iU)\b(?:{TOC_HEADS})\b")) | (F.size(shaped) >= 3)
+    # The pattern with its word borders is tried only where a phrase is.
+    head = holds(F.lower(col(raw)), TOC_HEADS) & F.regexp(col(raw), F.lit(rf"(?iU)\b(?:{'|'.join(TOC_HEADS)})\b"))
+    return head | (F.size(shaped) >= 3)
 
 
 def toc_block(pages: DataFrame) -> DataFrame:

@@ -35,13 +35,13 @@ CLEAN = LATEST + rf""", c1 AS (
     lambda x: {strip("regexp_replace(x, ' {2,}', ' ', 'g')")}) AS lines FROM c3
 ), clean AS (
   SELECT doc_id, page_number, raw_text, list_filter(lines, lambda x: NOT regexp_matches(lower(x), '^(?:grade|unit|lesson|page)[{SPACES}]*\p{{Nd}}+$')
-    AND NOT regexp_matches(lower(x), '{BAD_PHRASES}')
+    AND NOT regexp_matches(lower(x), '{'|'.join(BAD_PHRASES)}')
     AND length(regexp_replace(x, '[^\p{{L}}]+', '', 'g')) >= 5
     AND length(regexp_replace(x, '[^\p{{L}}]+', '', 'g'))::DOUBLE / greatest(length(x), 1) > 0.4::DOUBLE) AS kept FROM c4
 ), texts AS (SELECT doc_id, page_number, raw_text, array_to_string(kept, chr(10)) AS text FROM clean)"""
 
 TOC = rf""", toc AS (
-  SELECT doc_id, page_number, regexp_matches(raw_text, '(?i)\b(?:{TOC_HEADS})\b')
+  SELECT doc_id, page_number, regexp_matches(raw_text, '(?i)\b(?:{'|'.join(TOC_HEADS)})\b')
     OR len(list_filter(regexp_split_to_array(raw_text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'),
       lambda x: regexp_matches(x, '^.{{5,}}[.{SPACES}]{{3}}\p{{Nd}}+[{SPACES}]*$'))) >= 3 AS is_toc FROM latest
 ), tocs AS (
