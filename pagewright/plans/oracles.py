@@ -206,7 +206,7 @@ SELECT g.doc_id, g.chunk_index, chr(10) || '===== KEYWORD CLUSTERS FOR ' || labe
         "similarity_report": f"""WITH RECURSIVE {CLEAN}{SIMS}{CHUNKED} SELECT s.doc_id, s.page_number, '  Page ' || lpad((s.prev_page + 1)::VARCHAR, 4, ' ') || ' → ' || rpad((s.page_number + 1)::VARCHAR, 4, ' ')
             || ' | ' || rpad(repeat('█', trunc(s.sim * 20)::INTEGER), 20, ' ') || ' | ' || printf('%.3f', round(s.sim, 3)) || CASE WHEN w.size = 1 THEN ' ← BOUNDARY' ELSE '' END AS line
             FROM sims s JOIN walk w ON w.doc_id = s.doc_id AND w.o = s.o""",
-        "semantic_chunks": f"""WITH RECURSIVE {CLEAN}{SIMS}{CHUNKED} SELECT doc_id, idx AS chunk_index, min(page_number) AS first_page, max(page_number) AS last_page, count(*) AS n_pages,
+        "semantic_chunks": f"""WITH RECURSIVE {CLEAN}{SIMS}{CHUNKED} SELECT doc_id, idx::BIGINT AS chunk_index, min(page_number) AS first_page, max(page_number) AS last_page, count(*) AS n_pages,
             'CHUNK ' || (idx + 1) || ' (Pages ' || (min(page_number) + 1) || '–' || (max(page_number) + 1) || ')' AS label FROM walk GROUP BY doc_id, idx""",
         "chunk_text": f"WITH {CLEAN}{CHUNK_TEXT} SELECT doc_id, chunk_index, chunk_text FROM chunk_texts",
         "toc_context": f"WITH {CLEAN}{TOC} SELECT doc_id, string_agg(text || chr(10), '' ORDER BY page_number) AS toc_context FROM block JOIN texts USING (doc_id, page_number) WHERE in_toc_block GROUP BY doc_id",
