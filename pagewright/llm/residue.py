@@ -143,7 +143,8 @@ CUES = (
     "database|connection|fatal|parse|warning|stack|segmentation|traceback|[a-z]*error|[a-z]*exception|uncaught|file|on line|please|veuillez|int[eé]nt|check|"
     "site|sitio|this|available|no (?:está|se)|n['’]est|[a-z]*script|java|cookie|browser|navega|naviga|robot|human|verif|vérif|comprueb|ddos|exige|activ|"
     "habilit|permit|necesita|switch|turn|must|you|will not|may have|nothing|todo|fixme|tb[cd]|goes|type|click|replac|x{3}|text|conten|to follow|"
-    "null|undefined|nan|none|array|missing|dear|hello|hi|hola|bonjour|ch(?:er|ère)|estimad|querid|welcome|lorem|ipsum|dolor|turpis|viverra|coming|loading|retry"
+    "null|undefined|nan|none|array|missing|dear|hello|hi|hola|bonjour|ch(?:er|ère)|estimad|querid|welcome|coming|loading|retry|"
+    + "|".join(w for w in LATIN if len(w) > 4)
 )
 #: Texts that only speak of such things: what stands in quotation marks is no message.
 QUOTED = r"“[^”]{1,80}”|\"[^\"]{1,80}\""

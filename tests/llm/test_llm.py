@@ -209,7 +209,7 @@ def test_long_text_tokens():
 RESIDUE = [
     "Dear {{parent_name}},", "Today pairs work on ${topic}.", "Unit #{LESSON_TITLE}: Nets", "<%= due_date %>", "Welcome to %school% at <<unit_name>>.", "{% topic %}", "__due_date__",
     "Hello null,", "Welcome back, undefined!", "#REF!", "[object Object]", "Dear ,", "your child is in class  .", "[INSERT BODY COPY HERE]", "TODO: write a title", "TBD - text to follow",
-    "XXX Heading XXX", "Heading goes here", "Type your text here...", "*** replace with answer key ***", "Lorem ipsum dolor sit amet turpis.", "blah blah blah blah blah blah", "Error 404: Page not found",
+    "XXX Heading XXX", "Heading goes here", "Type your text here...", "*** replace with answer key ***", "Lorem ipsum dolor sit amet turpis.", "blah blah blah blah blah blah", "Cursus tempor fusce semper cursus pretium quis rutrum.", "Error 404: Page not found",
     "HTTP 500 – Internal Server Error", "Gone (code 410)", "We could not load this section.", "Página no encontrada.", "Traceback (most recent call last):", "THIS SITE IS UNDER CONSTRUCTION.",
     "You need to enable JavaScript to run this reader.", "Checking your browser before you continue...", "Cookies and scripts must be allowed to open this unit.", "Course portal JavaScript is disabled.",
 ]
