@@ -287,12 +287,12 @@ def reached_by_rounds(ids: DataFrame, links: DataFrame) -> DataFrame:
         inside = materialize(
             rest.join(color, "id").join(color.select(F.col("id").alias("parent"), F.col("color").alias("c2")), "parent")
             .filter(F.col("color") == F.col("c2")).select("id", "parent", "color"))
-        # Walk down from each color's own node to those it leads to within the color; they reach it by its color.
+        # Each color's own node leads to all of the color; walk back from it, from parent to id, to those that lead to it.
         back = materialize(color.filter(F.col("id") == F.col("color")))
         edge = back
         while True:
-            step = inside.join(edge.select(F.col("id").alias("at")), F.col("id") == F.col("at"), "left_semi")
-            edge = materialize(step.select(F.col("parent").alias("id"), "color").distinct().join(back, ["id", "color"], "left_anti"))
+            step = inside.join(edge.select(F.col("id").alias("parent")), "parent", "left_semi")
+            edge = materialize(step.select("id", "color").distinct().join(back, ["id", "color"], "left_anti"))
             if edge.isEmpty():
                 break
             back = materialize(back.union(edge))

@@ -67,3 +67,18 @@ def test_long_chain(spark):
     # Deeper than any recursion would go.
     cs = [(i, "D", f"n{i}", [f"n{i - 1}"], None, "") for i in range(1, 3001)]
     assert rows(hierarchy.roots(spark.createDataFrame(cs, C)).selectExpr("min(root_id)", "max(root_id)", "count(*)")) == [(1, 1, 3000)]
+
+
+LINKED_LOOPS = [
+    # Loop {1, 2} leads by way of 3 to loop {4, 5}; 6 names itself and leads to 1; 7 builds on 5.
+    (1, "D", "a", ["b"], None, ""), (2, "D", "b", ["a", "c"], None, ""), (3, "D", "c", ["d"], None, ""), (4, "D", "d", ["e"], None, ""),
+    (5, "D", "e", ["d"], None, ""), (6, "D", "f", ["f", "a"], None, ""), (7, "D", "g", ["e"], None, "")]
+
+
+@pytest.mark.parametrize("bound", [1, 20_000])
+def test_linked_loops(spark, bound):
+    df = spark.createDataFrame(LINKED_LOOPS, C)
+    found, below, loops = brute(LINKED_LOOPS)
+    assert (1, 4) in found and (3, 4) in found and (3, 3) not in found and (3, 1) not in found
+    assert rows(hierarchy.roots(df, bound)) == sorted(found, key=repr)
+    assert rows(hierarchy.loop_table(df, bound)) == sorted(loops, key=repr)
