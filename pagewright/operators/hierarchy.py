@@ -14,7 +14,7 @@ along the links, and a path is the concatenation of chain pieces.
 Scale: no link crosses documents, so documents (and connected components of documents
 over the bound) are packed into groups of bounded size, each solved in one task. A
 component that is itself over the bound is never collected: it is solved by rounds of
-joins over the whole cluster (reached_by_rounds).
+joins over the whole cluster (vertices_by_rounds and what follows).
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import canonical, not_blank
@@ -255,12 +255,11 @@ def packs(nodes: DataFrame, links: DataFrame, bound: int = PACK_ROWS) -> tuple[D
 # --- components over the bound -----------------------------------------------------------
 
 
-def reached_by_rounds(ids: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, root_id) for components of any size, by joins alone.
+def vertices_by_rounds(ids: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """vertex(id, vertex, in_loop) and up(low, high), the links between vertices, by joins alone.
 
-    Loops first: what lies on none is peeled off from both ends; of the rest each node
-    takes the smallest id that reaches it, and the nodes that reach that id back are
-    its loop. Then roots spread down the links, round by round, each pair once.
+    What lies on no loop is peeled off from both ends; of the rest each node takes the
+    smallest id that reaches it, and the nodes that reach that id back are its loop.
     """
     links = materialize(links.join(ids, "id", "left_semi").select("id", "parent").distinct())
     loops = None
@@ -305,27 +304,109 @@ def reached_by_rounds(ids: DataFrame, links: DataFrame) -> DataFrame:
         taken = back.select("id")
         rest = materialize(
             rest.join(taken, "id", "left_anti").join(taken.withColumnRenamed("id", "parent"), "parent", "left_anti").select("id", "parent"))
-    vertex = ids.select("id", F.col("id").alias("vertex"))
+    vertex = ids.select("id", F.col("id").alias("vertex"), F.lit(False).alias("in_loop"))
     if loops is not None:
-        vertex = ids.join(loops, "id", "left").select("id", F.coalesce("vertex", "id").alias("vertex"))
+        vertex = ids.join(loops, "id", "left").select("id", F.coalesce("vertex", "id").alias("vertex"), F.col("vertex").isNotNull().alias("in_loop"))
     vertex = materialize(vertex)
     up = (
         links.join(vertex, "id").select(F.col("vertex").alias("low"), "parent")
-        .join(vertex.withColumnRenamed("id", "parent"), "parent")
+        .join(vertex.select(F.col("id").alias("parent"), "vertex"), "parent")
         .select("low", F.col("vertex").alias("high")).filter(F.col("low") != F.col("high")).distinct()
     )
-    up = materialize(up)
+    return vertex, materialize(up)
+
+
+def tops(vertex: DataFrame, up: DataFrame, loops: bool) -> DataFrame:
+    """(vertex) of those that lead nowhere and, if asked for, of the loops."""
     top = vertex.select("vertex").distinct().join(up.select(F.col("low").alias("vertex")).distinct(), "vertex", "left_anti")
-    if loops is not None:
-        top = top.union(loops.select("vertex")).distinct()
-    found = edge = materialize(top.select("vertex", F.col("vertex").alias("root_id")))
+    return top.union(vertex.filter("in_loop").select("vertex")).distinct() if loops else top
+
+
+def roots_by_rounds(vertex: DataFrame, up: DataFrame) -> DataFrame:
+    """(vertex, root_id): roots spread down the links, round by round, each pair once."""
+    found = edge = materialize(tops(vertex, up, True).select("vertex", F.col("vertex").alias("root_id")))
     while True:
         step = up.join(edge, F.col("high") == F.col("vertex")).select(F.col("low").alias("vertex"), "root_id").distinct()
         edge = materialize(step.join(found, ["vertex", "root_id"], "left_anti"))
         if edge.isEmpty():
-            break
+            return found
         found = materialize(found.union(edge))
-    return vertex.join(found, "vertex").select("id", "root_id")
+
+
+def reached_by_rounds(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, root_id) for components of any size, by joins alone."""
+    vertex, up = vertices_by_rounds(ids, links)
+    return vertex.join(roots_by_rounds(vertex, up), "vertex").select("id", "root_id")
+
+
+def depths_by_rounds(start: DataFrame, up: DataFrame) -> DataFrame:
+    """start's columns (vertex and what goes down with it) and depth: the most steps down from a start, by the last round that reaches it."""
+    keys = start.columns
+    edge = start
+    found = materialize(start.withColumn("depth", F.lit(0)))
+    k = 0
+    while True:
+        k += 1
+        edge = materialize(up.join(edge.withColumnRenamed("vertex", "high"), "high").withColumnRenamed("low", "vertex").select(*keys).distinct())
+        if edge.isEmpty():
+            return found
+        found = materialize(found.join(edge, keys, "left_anti").unionByName(edge.withColumn("depth", F.lit(k))))
+
+
+def paths_by_rounds(found: DataFrame, up: DataFrame) -> DataFrame:
+    """found (see depths_by_rounds) with to (the deepest vertex above, of equal ones the smallest) and path.
+
+    A path is doubled in each round by that of the vertex where it begins.
+    """
+    rest = [c for c in found.columns if c not in ("vertex", "depth")]
+    above = up.join(found.select(F.col("vertex").alias("high"), "depth", *rest), "high").groupBy(F.col("low").alias("vertex"), *rest).agg(
+        F.max_by("high", F.struct("depth", -F.col("high"))).alias("to"))
+    first = materialize(found.join(above, ["vertex", *rest], "left"))
+    if rest:  # A start has no part above it that leads to itself.
+        first = first.withColumn("to", F.when(F.col("depth") > 0, F.col("to")))
+    steps = first.select("vertex", *rest, F.col("to").alias("at"), F.array("vertex").alias("path"))
+    while True:
+        before = steps.select(F.col("vertex").alias("at"), *rest, F.col("at").alias("next"), F.col("path").alias("before"))
+        steps = materialize(steps.join(before, ["at", *rest], "left").select(
+            "vertex", *rest, F.col("next").alias("at"), F.concat(F.coalesce("before", F.array().cast("array<bigint>")), "path").alias("path")))
+        if steps.filter(F.col("at").isNotNull()).isEmpty():
+            return first.join(steps.drop("at"), ["vertex", *rest])
+
+
+def nodes_by_rounds(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """id, depth, path, n_roots, n_below, in_loop, chain, place as solve gives them, for components of any size, by joins alone.
+
+    What builds on a vertex is kept as the first place on each chain, as in solve, and
+    merged up the links until nothing improves.
+    """
+    vertex, up = vertices_by_rounds(ids, links)
+    tree = materialize(paths_by_rounds(depths_by_rounds(tops(vertex, up, False), up), up))
+    size = tree.select(F.explode("path").alias("vertex")).groupBy("vertex").agg(F.count(F.lit(1)).alias("size"))
+    heavy = tree.filter(F.col("to").isNotNull()).select("vertex", "to").join(size, "vertex").groupBy("to").agg(
+        F.max_by("vertex", F.struct("size", -F.col("vertex"))).alias("vertex"))
+    chains = materialize(tree.select("vertex").join(heavy, "vertex", "left").select(
+        "vertex", F.coalesce("to", "vertex").alias("chain"), F.col("to").isNotNull().cast("int").alias("place")))
+    while True:
+        on = chains.select(F.col("vertex").alias("chain"), F.col("chain").alias("head"), F.col("place").alias("more"))
+        far = materialize(chains.join(on, "chain").select("vertex", F.col("head").alias("chain"), (F.col("place") + F.col("more")).alias("place"), "more"))
+        chains = far.drop("more")
+        if far.filter("more > 0").isEmpty():
+            break
+    pieces = edge = chains.withColumnRenamed("place", "first")
+    while True:
+        step = up.withColumnRenamed("low", "vertex").join(edge, "vertex").groupBy(F.col("high").alias("vertex"), "chain").agg(F.min("first").alias("new"))
+        edge = materialize(step.join(pieces, ["vertex", "chain"], "left").filter("first IS NULL OR new < first").select("vertex", "chain", F.col("new").alias("first")))
+        if edge.isEmpty():
+            break
+        pieces = materialize(pieces.union(edge).groupBy("vertex", "chain").agg(F.min("first").alias("first")))
+    held = vertex.groupBy("vertex").agg(F.count(F.lit(1)).alias("n"))
+    onward = Window.partitionBy("chain").orderBy(F.desc("place"))
+    tails = chains.join(held, "vertex").select("chain", F.col("place").alias("first"), F.sum("n").over(onward).alias("n"))
+    below = pieces.join(tails, ["chain", "first"]).groupBy("vertex").agg(F.sum("n").alias("n"))
+    counts = roots_by_rounds(vertex, up).groupBy("vertex").agg(F.count(F.lit(1)).cast("int").alias("n_roots"))
+    every = vertex.join(tree.drop("to"), "vertex").join(chains, "vertex").join(below, "vertex").join(counts, "vertex")
+    return every.select(
+        "id", "depth", "path", "n_roots", (F.col("n") - F.when(F.col("in_loop"), 0).otherwise(1)).alias("n_below"), "in_loop", "chain", "place")
 
 
 # --- results ---------------------------------------------------------------------------
@@ -339,6 +420,10 @@ def hierarchy(concepts: DataFrame, bound: int = PACK_ROWS) -> tuple[DataFrame, D
     return solved, over, links
 
 
+def written(path: str) -> Column:
+    return F.array_join(F.transform(path, lambda x: x.cast("string")), "/")
+
+
 def roots(concepts: DataFrame, bound: int = PACK_ROWS) -> DataFrame:
     """(concept_id, root_id): one row per node and root that it reaches in zero or more steps."""
     solved, over, links = hierarchy(concepts, bound)
@@ -351,17 +436,13 @@ def roots(concepts: DataFrame, bound: int = PACK_ROWS) -> DataFrame:
 def node_table(concepts: DataFrame, bound: int = PACK_ROWS) -> DataFrame:
     """concept_id, depth, path (ids of the longest way down from a root, loops by their smallest), n_roots, n_below, in_loop, chain, place.
 
-    Nodes of components over the bound come without path, chain and place: there only
-    roots are found (see roots); their other columns are null.
+    Nodes of components over the bound get the same columns by rounds of joins (nodes_by_rounds).
     """
     solved, over, links = hierarchy(concepts, bound)
-    rows = solved.select(
-        F.col("id").alias("concept_id"), "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"),
-        F.size("roots").alias("n_roots"), F.size("below").cast("bigint").alias("n_below"), "in_loop", "chain", "place")
-    if over is None:
-        return rows
-    counts = reached_by_rounds(over, links).groupBy(F.col("id").alias("concept_id")).agg(F.count(F.lit(1)).cast("int").alias("n_roots"))
-    return rows.unionByName(counts, allowMissingColumns=True)
+    rows = solved.select("id", "depth", "path", F.size("roots").alias("n_roots"), F.size("below").cast("bigint").alias("n_below"), "in_loop", "chain", "place")
+    if over is not None:
+        rows = rows.unionByName(nodes_by_rounds(over, links))
+    return rows.withColumn("path", written("path")).withColumnRenamed("id", "concept_id")
 
 
 def descendants(concepts: DataFrame, bound: int = PACK_ROWS) -> DataFrame:

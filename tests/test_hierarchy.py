@@ -82,3 +82,11 @@ def test_linked_loops(spark, bound):
     assert (1, 4) in found and (3, 4) in found and (3, 3) not in found and (3, 1) not in found
     assert rows(hierarchy.roots(df, bound)) == sorted(found, key=repr)
     assert rows(hierarchy.loop_table(df, bound)) == sorted(loops, key=repr)
+
+
+def test_nodes_over_the_bound(spark):
+    # A fork, two ways to one node, a second root and loops that lead on, against the same nodes solved in one pack.
+    more = [(8, "D", "h", ["g", "k"], None, ""), (9, "D", "k", None, None, ""), (10, "D", "l", ["c", "h"], None, ""), (11, "D", "m", ["g"], None, "")]
+    df = spark.createDataFrame(LINKED_LOOPS + more, C)
+    got = rows(hierarchy.node_table(df, 1))
+    assert got == rows(hierarchy.node_table(df)) and len(got) == 11 and all(x is not None for r in got for x in r)
