@@ -53,7 +53,7 @@ VALUES = [
     r"\p{L} [.,](?: |$)",
     r"&nbsp;|\[no (?:title|name|text|content|caption)\]",
     r"\barray ?\( ?\[\d+\] ?=>",
-    r"\bmissing (?:translation|string|key)\b ?:|^\W*\p{Ll}+(?:\.\p{Ll}+){2,}\W*$",
+    r"\bmissing (?:translation|string|key)\b ?:|^\W*(?-i:\p{Ll}+(?:\.\p{Ll}+){2,})\W*$|^\W*\p{L}{2,}(?:\.\p{L}{2,}){2,}\W*$",
     r"\b(?:missing|undefined) (?:value|variable|field) ?:",
 ]
 THING = r"[\p{L}\p{N} ''’_-]{2,40}"
@@ -135,17 +135,6 @@ KINDS = {"placeholder": PLACEHOLDERS, "value": VALUES, "instruction": INSTRUCTIO
 #: Short messages that count only if they recur in more than one document.
 RECURRING = r"^\W*(?:retry\??|access denied|not found|gone|forbidden|service unavailable|page not available|coming soon|loading[.…]+ please wait)\W*$"
 
-#: What the rules need, but for repeated words: a mark of a template, a status code or one of these beginnings of words. Most messages have none.
-MARKS = r"[{}<>%$@~#\[\]«*&]|__|\(|[45]\d\d| [.,](?: |$)|\p{Ll}\.\p{Ll}+\.\p{Ll}"
-CUES = (
-    "error|erreur|http|status|code|serv|gateway|unavail|gone|forbidden|denied|access|permission|request|too many|upstream|down for|maint|manten|fail|"
-    "unexpected|unauthor|bad|sorry|lo sent|désol|occur|ha ocurr|une err|página|page (?:not|intr|non|you)|link you|something|oops|we could|session|sign in|"
-    "database|connection|fatal|parse|warning|stack|segmentation|traceback|[a-z]*error|[a-z]*exception|uncaught|file|on line|please|veuillez|int[eé]nt|check|"
-    "site|sitio|this|available|no (?:está|se)|n['’]est|[a-z]*script|java|cookie|browser|navega|naviga|robot|human|verif|vérif|comprueb|ddos|exige|activ|"
-    "habilit|permit|necesita|switch|turn|must|you|will not|may have|nothing|todo|fixme|tb[cd]|goes|type|click|replac|x{3}|text|conten|to follow|"
-    "null|undefined|nan|none|array|missing|dear|hello|hi|hola|bonjour|ch(?:er|ère)|estimad|querid|welcome|coming|loading|retry|"
-    + "|".join(w for w in LATIN if len(w) > 4)
-)
 #: Texts that only speak of such things: what stands in quotation marks is no message.
 QUOTED = r"“[^”]{1,80}”|\"[^\"]{1,80}\""
 
@@ -179,9 +168,8 @@ def kind(message: str, n_docs: str) -> Column:
     for name, patterns in KINDS.items():
         rule = rule.when(F.regexp(said if name in ("error", "script") else text, F.lit("(?iu)" + "|".join(f"(?:{p})" for p in patterns))), name)
     rule = rule.when(F.regexp(text, F.lit("(?iu)" + RECURRING)) & (F.col(n_docs) > 1), "error")
-    gate = F.regexp(text, F.lit(MARKS)) | F.regexp(F.lower(text), F.lit(rf"(?:^|[^\p{{L}}])(?:{CUES})"))
     repeated = F.when(F.regexp(text, F.lit(rf"(?iu){REPEATED[0]}")) | F.regexp(text, F.lit(rf"(?iu){REPEATED[1]}")), "filler")
-    return F.coalesce(F.when(gate, rule), repeated)
+    return F.coalesce(rule, repeated)
 
 
 def classified(documents: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -240,3 +240,10 @@ def test_residue_counts_across_sources(spark):
     assert rows(residue.message_report(d).select("message", "kind", "n_docs", "n_sources")) == [("Please try again later.", "error", 4, 2)]
     masked = spark.createDataFrame([("Call 12 at 5/6/2025, see https://x.org/a or me@x.org; error 404",)], "t string").select(residue.mask(F.col("t"))).first()[0]
     assert masked == "Call 0 at <date>, see <url> or <mail>; error 404"
+
+
+def test_residue_rules_need_no_cue(spark):
+    # None of these has a mark or a word that a cheaper test before the rules looked for.
+    texts = ["Not found", "Not found.", "NOT FOUND!", "Lesson.Title.Heading", "Sit amet elit sed erat quis."]
+    d = spark.createDataFrame([(i, f"Words.\n{t}\nWords.", "s", 0) for i, t in enumerate([*texts, "U.S.A."])], D)
+    assert {r.doc_id for r in residue.found(d).collect()} == set(range(len(texts)))
