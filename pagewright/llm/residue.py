@@ -44,7 +44,8 @@ PROGRAM = r"""\b(?:print|printf|println|format|input|def|return|echo|console\.lo
 
 #: Fields filled with an empty or broken machine value.
 VALUES = [
-    r"\[object object\]",
+    r"(?:\[|%[05]b)object(?: |\+|%2?0)object(?:\]|%[05]d)",
+    r"<url>(?:undefined|null|nan)(?![\p{L}\p{N}_-])",
     r"\b(?:hello|hi|dear|welcome(?: back)?|hola|bonjour|unit|lesson|grade|page|class|chapter|section|week|by|for|of|at),? \(?(?:null|undefined|nan|none)\)?(?=[\s,.!:;)]|$)",
     r"\(null\)|<null>|\bnan of \w+|\bundefined of\b",
     r"^\W*(?:null|undefined|nan)(?:\W+(?:null|undefined|nan))*\W*$",
@@ -139,10 +140,17 @@ RECURRING = r"^\W*(?:retry\??|access denied|not found|gone|forbidden|service una
 QUOTED = r"“[^”]{1,80}”|\"[^\"]{1,80}\""
 
 
+#: Where an address holds a field left open or a broken value; from there on it is kept.
+OPEN = "|".join([*PLACEHOLDERS, SINGLE_BRACE, VALUES[0], INSTRUCTIONS[0], r"(?<=[/=])(?:undefined|null|nan)(?![^/?&#\s.,;:!)])"])
+
+
 def mask(c: Column) -> Column:
-    """Addresses, dates and numbers as fixed marks; three-digit status codes stay, as they tell errors."""
-    web = F.regexp_replace(c, r"(?i)\b(?:https?://|www\.)\S+", "<url>")
-    web = F.regexp_replace(web, r"(?i)\b[\w.+-]+@[\w-]+\.[a-z]{2,}\b", "<mail>")
+    """Addresses, dates and numbers as fixed marks; three-digit status codes stay, as they tell errors.
+
+    An address ends before a field left open in it, so that the rules see the field.
+    """
+    web = F.regexp_replace(c, rf"(?iu)\b(?:https?://|www\.)(?:(?!{OPEN})\S)*+", "<url>")
+    web = F.regexp_replace(web, rf"(?iu)\b(?:(?!{OPEN})[\w.+-])+@[\w-]+\.[a-z]{{2,}}\b", "<mail>")
     date = F.regexp_replace(c, r"\b\d{1,4}([-/.])\d{1,2}\1\d{1,4}\b", "<date>")
     number = F.regexp_replace(date, r"\d+(?<!(?<!\d)[45]\d\d(?!\d))(?!\d)", "0")
     has_web = F.contains(c, F.lit("://")) | F.contains(c, F.lit("www.")) | F.contains(c, F.lit("@"))

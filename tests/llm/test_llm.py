@@ -247,3 +247,12 @@ def test_residue_rules_need_no_cue(spark):
     texts = ["Not found", "Not found.", "NOT FOUND!", "Lesson.Title.Heading", "Sit amet elit sed erat quis."]
     d = spark.createDataFrame([(i, f"Words.\n{t}\nWords.", "s", 0) for i, t in enumerate([*texts, "U.S.A."])], D)
     assert {r.doc_id for r in residue.found(d).collect()} == set(range(len(texts)))
+
+
+def test_residue_in_addresses(spark):
+    bad = ["See https://school.org/{{unit_slug}} today", "www.school.org/${path}", "https://{{ host }}/a", "At https://school.org/%NAME%/a.", "https://school.org/unit/undefined",
+           "http://school.org/a?b=null&c=d", "https://school.org/[object Object]", "https://school.org/%5Bobject%20Object%5D", "Write to %school%@school.org or __name__@school.org", "https://school.org/{unit}/a"]
+    good = ["https://school.org/caf%C3%A9/%20a%20b", "https://school.org/undefined-terms", "https://school.org/a_b__c/$5?x=[1]", "me@school.org or www.school.org"]
+    d = spark.createDataFrame([(i, f"Words.\n{t}\nWords.", "s", 0) for i, t in enumerate(bad + good)], D)
+    assert {(bad + good)[r.doc_id] for r in residue.found(d).collect()} == set(bad)
+    assert [r[0] for r in d.filter(d.doc_id >= len(bad)).select(residue.mask(F.element_at(F.split("text", "\n"), 2))).collect()] == ["<url>", "<url>", "<url>", "<mail> or <url>"]
