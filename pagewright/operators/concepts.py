@@ -123,6 +123,12 @@ def current(concepts: DataFrame) -> DataFrame:
     return concepts.filter(F.col("deleted_at").isNull() & F.col("doc_id").isNotNull() & F.col("name").isNotNull()).select("concept_id", "doc_id", "name", "prerequisites")
 
 
+def items(concepts: DataFrame) -> DataFrame:
+    """(doc_id, name), distinct: what is to be checked, each current concept's name and each of its prerequisites, as written."""
+    rows = current(concepts)
+    return rows.select("doc_id", "name").union(rows.select("doc_id", F.explode("prerequisites").alias("name"))).filter(F.col("name").isNotNull()).distinct()
+
+
 def found_names(verified: DataFrame) -> DataFrame:
     """(doc_id, name) that a verification table found last; of checks at the same time the found one."""
     rows = verified.filter(F.col("concept").isNotNull() & F.col("doc_id").isNotNull() & F.col("found").isNotNull())

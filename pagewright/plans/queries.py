@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.operators import chunking, cleaning, concepts, hierarchy, keywords, orphans, reports
+from pagewright.runtime import materialize
 from pagewright.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +49,15 @@ def found(s: SparkSession, d: str) -> DataFrame:
     return concepts.found_names(table(s, d, "verification"))
 
 
+def checked(s: SparkSession, d: str) -> DataFrame:
+    """Names and prerequisites, all checked against the pages here and not looked up in a given table."""
+    return concepts.verification(concepts.items(table(s, d, "concepts")), table(s, d, "page_index"), table(s, d, "stop_words"))
+
+
+def checked_found(s: SparkSession, d: str) -> DataFrame:
+    return materialize(checked(s, d).filter("found").select("doc_id", F.col("concept").alias("name")))
+
+
 def prompt_inputs(s: SparkSession, d: str) -> DataFrame:
     """Prompts with the best keywords of each chunk in the place of cluster names."""
     names = keywords.distinct_keywords(table(s, d, "keywords")).select(
@@ -108,6 +118,10 @@ def queries() -> dict[str, Query]:
         "prompt": prompt_inputs,
         "verify_concepts": lambda s, d: concepts.verification(
             concepts.current(table(s, d, "concepts")).select("doc_id", cleaning.squeeze("name").alias("name")), table(s, d, "page_index"), table(s, d, "stop_words")),
+        "verify_items": checked,
+        "verified_clean": lambda s, d: concepts.clean_concepts(table(s, d, "concepts"), checked_found(s, d)).select(
+            "concept_id", "doc_id", "name", F.array_join("prerequisites", "|").alias("prerequisites")),
+        "verified_flagged": lambda s, d: concepts.flagged(table(s, d, "concepts"), checked_found(s, d)),
         "clean_concepts": lambda s, d: concepts.clean_concepts(table(s, d, "concepts"), found(s, d)).select(
             "concept_id", "doc_id", "name", F.array_join("prerequisites", "|").alias("prerequisites")),
         "flagged_concepts": lambda s, d: concepts.flagged(table(s, d, "concepts"), found(s, d)).filter("kind = 'concept'").select("concept_id", "doc_id", "item"),

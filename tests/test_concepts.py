@@ -2,6 +2,7 @@ from datetime import datetime
 
 from conftest import rows
 from pagewright.operators import concepts, reports
+from pagewright.plans import queries
 
 NOW = datetime(2025, 1, 1)
 C = "concept_id bigint, doc_id string, name string, prerequisites array<string>, deleted_at timestamp"
@@ -45,3 +46,17 @@ def test_prompt_guard(spark):
     toc = spark.createDataFrame([("E", "contents\n")], "doc_id string, toc_context string")
     got = {r.doc_id: (r.status, r.prompt) for r in concepts.prompts(chunks, names, toc).collect()}
     assert got["D"][0] == "prompt_too_large" and got["E"][0] == "ok" and "contents\n" in got["E"][1]
+
+
+def test_prerequisites_are_checked(spark, tmp_path):
+    # "small cubes" and "Fakes" are names of no concept; only the pages tell them apart.
+    tables = {
+        "concepts": spark.createDataFrame([(1, "D", "sums", ["small cubes", "Fakes", None], None), (2, "D", "gone", ["lost"], NOW)], C),
+        "page_index": spark.createDataFrame([("D", 1, "sums with small cubes, sums of cubes", NOW, 1)], "doc_id string, page int, text string, indexed_at timestamp, index_id bigint"),
+        "stop_words": spark.createDataFrame([("en", "of"), ("en", "with")], "lang string, word string")}
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    every = queries.queries()
+    assert rows(every["verify_items"](spark, str(tmp_path)).select("concept", "found")) == [("Fakes", False), ("small cubes", True), ("sums", True)]
+    assert rows(every["verified_clean"](spark, str(tmp_path)).select("concept_id", "prerequisites")) == [(1, "small cubes")]
+    assert rows(every["verified_flagged"](spark, str(tmp_path)).select("kind", "item")) == [("prerequisite", "Fakes")]
