@@ -97,6 +97,34 @@ def loops_of(n: int, up: list[list[int]]) -> tuple[list[int], list[list[int]]]:
     return comp, comps
 
 
+def solve_paths(ids: np.ndarray, child: np.ndarray, parent: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
+    """(id, root, path) for each node and each root that it reaches: the longest way down from that root, as vertices; of equal ones the parent of the smallest id."""
+    ids = np.sort(ids)
+    up: list[list[int]] = [[] for _ in ids]
+    for x, y in zip(np.searchsorted(ids, child).tolist(), np.searchsorted(ids, parent).tolist()):
+        up[x].append(y)
+    comp, comps = loops_of(len(ids), up)
+    name = [int(ids[min(c)]) for c in comps]
+    ways: list[dict[int, tuple[int, int]]] = []
+    for k, members in enumerate(comps):
+        mine: dict[int, tuple[int, int]] = {}
+        above = sorted({comp[w] for v in members for w in up[v]} - {k}, key=lambda x: name[x])
+        for p in above:
+            for root, (steps, _) in ways[p].items():
+                if root not in mine or mine[root][0] <= steps:
+                    mine[root] = steps + 1, p
+        if not above or len(members) > 1 or members[0] in up[members[0]]:
+            mine[k] = 0, -1
+        ways.append(mine)
+        for root in mine:
+            path, at = [], k
+            while at >= 0:
+                path.append(name[at])
+                at = ways[at][root][1]
+            for v in members:
+                yield int(ids[v]), name[root], path[::-1]
+
+
 def solve(ids: np.ndarray, child: np.ndarray, parent: np.ndarray) -> dict[str, list]:
     """Hierarchy of the nodes `ids` under the links child -> parent (all within ids).
 
@@ -190,6 +218,15 @@ def solve_pack(rows: pd.DataFrame) -> pd.DataFrame:
         links["id"].to_numpy("int64"), links["parent"].to_numpy("int64")))
 
 
+def path_pack(rows: pd.DataFrame) -> pd.DataFrame:
+    """As solve_pack; paths are written out at once, so that a pack holds text and no lists of numbers."""
+    links = rows[rows["parent"].notna()]
+    found = solve_paths(
+        rows.loc[rows["parent"].isna(), "id"].to_numpy("int64"),
+        links["id"].to_numpy("int64"), links["parent"].to_numpy("int64"))
+    return pd.DataFrame(((v, r, len(p) - 1, "/".join(map(str, p))) for v, r, p in found), columns=["concept_id", "root_id", "depth", "path"])
+
+
 # --- grouping --------------------------------------------------------------------------
 
 
@@ -445,6 +482,19 @@ def node_table(concepts: DataFrame, bound: int = PACK_ROWS) -> DataFrame:
     return rows.withColumn("path", written("path")).withColumnRenamed("id", "concept_id")
 
 
+def root_paths(concepts: DataFrame, bound: int = PACK_ROWS) -> DataFrame:
+    """concept_id, root_id, depth, path: for each row of roots the longest way down from that root (loops by their smallest id)."""
+    nodes, links = nodes_and_links(concepts)
+    packed, over = packs(nodes, links, bound)
+    found = packed.groupBy("pack").applyInPandas(lambda pdf: path_pack(pdf), "concept_id bigint, root_id bigint, depth int, path string")
+    if over is None:
+        return found
+    vertex, up = vertices_by_rounds(over, links)
+    start = tops(vertex, up, True).select("vertex", F.col("vertex").alias("root_id"))
+    far = paths_by_rounds(depths_by_rounds(start, up), up)
+    return found.unionByName(vertex.join(far, "vertex").select(F.col("id").alias("concept_id"), "root_id", "depth", written("path").alias("path")))
+
+
 def descendants(concepts: DataFrame, bound: int = PACK_ROWS) -> DataFrame:
     """(concept_id, below_id): each node with every node that builds on it; nodes of a loop build on each other and themselves.
 

@@ -82,6 +82,7 @@ def queries() -> dict[str, Query]:
         "p2_months": lambda s, d: orphans.orphan_counts(table(s, d, "concepts"), table(s, d, "verification")),
         "p5_found": lambda s, d: hierarchy.roots(table(s, d, "concepts")),
         "p5_nodes": lambda s, d: hierarchy.node_table(table(s, d, "concepts")),
+        "p5_paths": lambda s, d: hierarchy.root_paths(table(s, d, "concepts")),
         "p5_descendants": lambda s, d: hierarchy.descendants(table(s, d, "concepts")),
         "p5_loops": lambda s, d: hierarchy.loop_table(table(s, d, "concepts")),
         "page_count": lambda s, d: chunking.page_counts(pages(s, d)),

@@ -90,3 +90,13 @@ def test_nodes_over_the_bound(spark):
     df = spark.createDataFrame(LINKED_LOOPS + more, C)
     got = rows(hierarchy.node_table(df, 1))
     assert got == rows(hierarchy.node_table(df)) and len(got) == 11 and all(x is not None for r in got for x in r)
+
+
+@pytest.mark.parametrize("bound", [1, 20_000])
+def test_paths_to_every_root(spark, bound):
+    # 4 leads to the roots 1 and 2, to 1 by two ways; {5, 6} is a loop that leads on to 1.
+    cs = [(1, "D", "a", None, None, ""), (2, "D", "b", None, None, ""), (3, "D", "c", ["a"], None, ""), (4, "D", "d", ["c", "a", "b"], None, ""),
+          (5, "D", "e", ["f", "a"], None, ""), (6, "D", "f", ["e"], None, "")]
+    assert rows(hierarchy.root_paths(spark.createDataFrame(cs, C), bound)) == sorted([
+        (1, 1, 0, "1"), (2, 2, 0, "2"), (3, 1, 1, "1/3"), (4, 1, 2, "1/3/4"), (4, 2, 1, "2/4"),
+        (5, 1, 1, "1/5"), (5, 5, 0, "5"), (6, 1, 1, "1/5"), (6, 5, 0, "5")], key=repr)
