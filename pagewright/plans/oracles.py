@@ -139,6 +139,19 @@ reach AS (SELECT id, parent AS up FROM links UNION SELECT r.id, l.parent FROM re
 loops AS (SELECT a.id, least(a.id, min(a.up)) AS loop_id FROM reach a JOIN reach b ON b.id = a.up AND b.up = a.id GROUP BY a.id),
 tops AS (SELECT id, id AS root FROM nodes WHERE id NOT IN (SELECT id FROM links) UNION SELECT id, loop_id FROM loops)"""
 
+# Loops as one vertex, the deepest parent of each, and the chains of heaviest children.
+CHAINS = GRAPH + """,
+vx AS (SELECT n.id, coalesce(l.loop_id, n.id) AS v, l.id IS NOT NULL AS in_loop FROM nodes n LEFT JOIN loops l ON l.id = n.id),
+ups AS (SELECT DISTINCT a.v AS low, b.v AS high FROM links JOIN vx a ON a.id = links.id JOIN vx b ON b.id = links.parent WHERE a.v <> b.v),
+deep AS (SELECT DISTINCT v, 0 AS k FROM vx WHERE v NOT IN (SELECT low FROM ups) UNION SELECT low, k + 1 FROM deep JOIN ups ON high = v),
+dep AS (SELECT v, max(k) AS depth FROM deep GROUP BY v),
+prim AS (SELECT low AS v, high AS p FROM (SELECT low, high, row_number() OVER (PARTITION BY low ORDER BY depth DESC, high) AS rn FROM ups JOIN dep ON v = high) WHERE rn = 1),
+ways AS (SELECT v, [v] AS path FROM dep WHERE v NOT IN (SELECT v FROM prim) UNION ALL SELECT prim.v, list_append(path, prim.v) FROM ways JOIN prim ON prim.p = ways.v),
+sz AS (SELECT v, count(*) AS n FROM (SELECT unnest(path) AS v FROM ways) GROUP BY v),
+hv AS (SELECT v, p FROM (SELECT v, p, row_number() OVER (PARTITION BY p ORDER BY n DESC, v) AS rn FROM prim JOIN sz USING (v)) WHERE rn = 1),
+ch AS (SELECT v, v AS chain, 0 AS place FROM dep WHERE v NOT IN (SELECT v FROM hv) UNION ALL SELECT hv.v, chain, place + 1 FROM ch JOIN hv ON hv.p = ch.v),
+rt AS (SELECT id, root FROM tops UNION SELECT r.id, t.root FROM reach r JOIN tops t ON t.id = r.up)"""
+
 WORDS = r"""
 stops AS (SELECT DISTINCT lower(word) AS word FROM stop_words),
 asked AS (SELECT DISTINCT doc_id, regexp_replace(name, '[""" + SPACES + r"""]+', ' ', 'g') AS name FROM concepts WHERE deleted_at IS NULL AND doc_id IS NOT NULL AND name IS NOT NULL),
@@ -188,6 +201,9 @@ SELECT g.doc_id, g.chunk_index, chr(10) || '===== KEYWORD CLUSTERS FOR ' || labe
         "p2_found": ORPHANS + " SELECT src_table, src_id, ref_pos FROM o WHERE NOT answered",
         "p2_months": ORPHANS + " SELECT src_table, strftime(tm AT TIME ZONE 'UTC', '%Y-%m') AS month, count(*) AS n_refs, count(*) FILTER (NOT answered) AS n_orphans FROM o GROUP BY ALL",
         "p5_found": GRAPH + " SELECT id AS concept_id, root AS root_id FROM tops UNION SELECT r.id, t.root FROM reach r JOIN tops t ON t.id = r.up",
+        "p5_nodes": CHAINS + """ SELECT vx.id AS concept_id, depth::INTEGER AS depth, array_to_string(path, '/') AS path,
+            (SELECT count(*) FROM rt WHERE rt.id = vx.id)::INTEGER AS n_roots, (SELECT count(*) FROM reach r WHERE r.up = vx.id) AS n_below,
+            in_loop, chain, place::INTEGER AS place FROM vx JOIN dep USING (v) JOIN ways USING (v) JOIN ch USING (v)""",
         "p5_descendants": GRAPH + " SELECT up AS concept_id, id AS below_id FROM reach",
         "p5_loops": GRAPH + " SELECT loop_id, id AS concept_id FROM loops",
         "page_count": "SELECT doc_id, count(DISTINCT page_number) AS n_pages FROM pages GROUP BY doc_id",

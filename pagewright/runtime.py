@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,22 +28,34 @@ def session(name: str = "pagewright", **conf: str) -> SparkSession:
     return builder.config(map=defaults | conf).getOrCreate()
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by spark.checkpoint.dir; set one only where none is named."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="pagewright-"))
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, or that was set as the checkpoint folder.
 
+    Where neither is, a temporary one serves a local session; on a cluster, whose
+    executors share no such folder, that is refused.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="pagewright-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint; the rows survive the loss of an executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write the rows as a table into the shared folder and read them from there.
 
-def reuse(df: DataFrame) -> DataFrame:
-    """Keep rows on the executors' disks while a plan reads them twice; recomputed if lost."""
-    return df.persist(StorageLevel.DISK_ONLY)
+    They survive the loss of an executor, are compressed, and their size is known to
+    the planner. The table goes when the session's file system closes.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/pagewright-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def heavy_keys(rows: DataFrame, keys: list[str], weight: Column | None = None) -> DataFrame:
