@@ -40,6 +40,18 @@ def test_brute_force(spark, hot):
     assert sum(r.n_orphans for r in counted) == len(brute(cs, vs))
 
 
+def test_hot_key_of_many_periods(spark):
+    # One key holds nearly all rows; its 1,000 short targets lie a day apart, one of them ends in the year 9999.
+    cs = [(i, "A", "Net", ["Net"] if i % 3 else ["Cube"], day(2 * i), day(2 * i + 1), "x") for i in range(1000)]
+    cs += [(2000, "A", "Zed", None, day(5), datetime(9999, 12, 31), "x"), (2001, "A", "Cube", ["zed"], day(4), None, "x"), (2002, "A", "Sum", ["zed"], day(5), None, "x")]
+    vs = [(i, "A", "NET", day(i % 2100) + timedelta(hours=i % 24)) for i in range(3000)] + [(4000 + i, "A", "net", day(1)) for i in range(500)]
+    got = orphans.orphan_rows(spark.createDataFrame(cs, C), spark.createDataFrame(vs, V))
+    lines = [(day(2 * i), day(2 * i + 1)) for i in range(1000)]
+    want = [("verification", i, 0) for i, _, _, t in vs if not any(a <= t < b for a, b in (lines[k] for k in {min((t - T0).days // 2, 999)}))]
+    want += [("concepts", i, 0) for i in (0, )] + [("concepts", 2001, 0)]
+    assert rows(got) == sorted(want, key=repr)
+
+
 def test_empty(spark):
     c, v = spark.createDataFrame([], C), spark.createDataFrame([(1, "D", "x", T0)], V)
     assert rows(orphans.orphan_rows(c, v)) == [("verification", 1, 0)]
