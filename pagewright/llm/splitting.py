@@ -1,8 +1,10 @@
 """Splitting oversized texts at natural boundaries (problem 3).
 
 Method: the least number of pieces that can hold the text is computed, cuts are aimed
-at equal distances, each is moved to the strongest boundary near its aim, and if any
-piece comes out over the limit the text is cut again into one piece more.
+at equal distances, each is moved to the strongest boundary near its aim, and where the
+rest of the text no longer fits into the pieces planned for it, it gets one more. The
+plan is made anew for the rest after each cut, so nothing is cut twice and the time
+grows with the text.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 2000, 200
+#: A boundary counts as near an aim within one REACHth of a piece's share.
+REACH = 6
 
 #: Boundaries from the strongest to the weakest; a cut lies at a match's end.
 BOUNDARIES = [
@@ -63,26 +67,19 @@ def cut_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tupl
     Pieces have at most `limit` characters (code points) and cover the text: the
     pieces' text[fresh:end] joined are the text. A text within the limit is one piece.
     """
-    size = len(text)
-    if size <= limit:
-        return [(0, 0, size)]
-    count = 1 + -(-(size - limit) // (limit - overlap))
-    while True:
-        step = size / count
-        reach = int(min(step / 4, max(0, limit - overlap - step) + step / 8)) + 1
-        cuts, ok = [0], True
-        for k in range(1, count):
-            aim = round(k * step)
-            cuts.append(snap(text, aim, max(cuts[-1], aim - reach), min(size - 1, aim + reach)))
-        cuts.append(size)
-        pieces = []
-        for k in range(count):
-            start = overlap_start(text, cuts[k], overlap, cuts[k - 1]) if k else 0
-            pieces.append((start, cuts[k], cuts[k + 1]))
-            ok = ok and cuts[k + 1] - start <= limit and cuts[k + 1] > cuts[k]
-        if ok:
-            return pieces
-        count += 1
+    size, room = len(text), limit - overlap
+    pieces, start, fresh = [], 0, 0
+    while size - start > limit:
+        # The least number of pieces for the rest, this one with its repeated part among them; equal shares of what is fresh.
+        count = 1 + -(-(size - start - limit) // room)
+        share = (size - fresh) / count
+        high = min(start + limit, size - 1)
+        aim = min(round(fresh + share), high)
+        reach = int(share / REACH)
+        cut = snap(text, aim, max(fresh, aim - reach), min(high, aim + reach))
+        pieces.append((start, fresh, cut))
+        start, fresh = overlap_start(text, cut, overlap, fresh), cut
+    return [*pieces, (start, fresh, size)]
 
 
 def split_batches(batches: Iterator[pd.DataFrame], limit: int, overlap: int) -> Iterator[pd.DataFrame]:
