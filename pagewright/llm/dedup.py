@@ -3,6 +3,11 @@
 Method: the distinct values of every column are put in canonical form once and get
 integer identifiers in a dictionary; each record becomes the sorted tuple of its
 field-value integers, and equal tuples are one record.
+
+An identifier is a 64-bit hash of the canonical value under a seed for which no two
+values of the dictionary share one: this is checked, and another seed taken if it does
+not hold. So identifiers need no numbering of values, no join back to them, and come
+out alike if a task runs again.
 """
 
 from __future__ import annotations
@@ -10,19 +15,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import canonical, not_blank
-from pagewright.runtime import heavy_keys, materialize, split_join
+from pagewright.functions.text import canonical
+from pagewright.runtime import HEAVY_PARTS, materialize, split_join
 
 #: Kinds of dictionary entries; a kind tells equal strings of different columns apart.
 DOC, NAME, ENTRY, EXTRA = 0, 1, 2, 3
 
 
 def fields(concepts: DataFrame) -> DataFrame:
-    """(concept_id, kind, raw): one row per value of a record with a non-blank name and an id.
+    """(concept_id, kind, raw): one row per value of a record with an id and a name.
 
-    A null list has no entries, a null extra no value; null doc_ids are equal.
+    A null list has no entries, a null extra no value; null doc_ids are equal. Whether
+    a name is blank is told later, once per distinct name.
     """
-    rows = concepts.filter(not_blank(canonical("name")) & F.col("concept_id").isNotNull())
+    rows = concepts.filter(F.col("name").isNotNull() & F.col("concept_id").isNotNull())
 
     def value(kind: int, c: str) -> F.Column:
         return F.struct(F.lit(kind).alias("kind"), F.col(c).alias("raw"))
@@ -36,40 +42,55 @@ def fields(concepts: DataFrame) -> DataFrame:
     )
 
 
-def dictionary(values: DataFrame) -> DataFrame:
-    """(kind, raw, codes): the identifiers of what a raw value means.
+def meaning() -> F.Column:
+    """What a raw value means, as canonical strings.
 
-    A document id means itself; a name or an entry its letters and digits, a blank
-    entry nothing. An extra means its keys with their values, in any order (null is a
-    value of its own), and one code that says there is an extra. One that is no JSON
+    A document id means itself; a name or an entry its letters and digits, a blank one
+    nothing. An extra means its keys with their values, in any order (null is a value
+    of its own), and one string that says there is an extra. One that is no JSON
     object means its letters and digits.
     """
-    distinct = values.select("kind", "raw").distinct()
     pairs = F.transform(
         F.map_entries(F.from_json("raw", "map<string,string>")),
         lambda e: F.concat(F.lit("k"), canonical(e["key"]), F.coalesce(F.concat(F.lit(" v"), canonical(e["value"])), F.lit(" null"))),
     )
-    means = (
+    return (
         F.when(F.col("kind") == DOC, F.array("raw"))
         .when(F.col("kind") == EXTRA, F.concat(F.array(F.lit("extra")), F.coalesce(pairs, F.array(F.concat(F.lit("text "), canonical("raw"))))))
         .otherwise(F.filter(F.array(canonical("raw")), lambda x: x != ""))
     )
-    meant = materialize(distinct.withColumn("means", means))
-    spread = meant.select("kind", "raw", F.explode("means").alias("canon"))
-    # Written before it is joined: the identifiers must not change if a task runs again.
-    ids = materialize(spread.select("kind", "canon").distinct().withColumn("code", F.monotonically_increasing_id()))
-    heavy = heavy_keys(spread, ["kind", "canon"])
-    coded = split_join(spread, ids, ["kind", "canon"], heavy)
-    return coded.groupBy("kind", "raw").agg(F.collect_list("code").alias("codes"))
+
+
+def coded(values: DataFrame, seed: int) -> DataFrame:
+    """(kind, raw, n, codes): each distinct value, how often it occurs, and the identifiers of what it means; canonical once per value."""
+    counted = values.groupBy("kind", "raw").agg(F.count(F.lit(1)).alias("n"))
+    codes = F.transform(meaning(), lambda m: F.xxhash64(F.lit(seed), "kind", m))
+    # A second hash tells values apart that share an identifier.
+    proof = F.transform(meaning(), lambda m: F.xxhash64(m, F.lit(~seed), "kind"))
+    return materialize(counted.select("kind", "raw", "n", codes.alias("codes"), proof.alias("proof")))
+
+
+def dictionary(values: DataFrame, seed: int = 1) -> DataFrame:
+    """As coded, under the first seed from `seed` on that gives every canonical value an identifier of its own."""
+    while True:
+        book = coded(values, seed)
+        pairs = book.select(F.explode(F.arrays_zip("codes", "proof")).alias("p"))
+        shared = pairs.groupBy("p.codes").agg(F.min("p.proof").alias("a"), F.max("p.proof").alias("b")).filter("a <> b")
+        if shared.isEmpty():
+            return book.drop("proof")
+        seed += 1
 
 
 def tuples(concepts: DataFrame) -> DataFrame:
-    """(concept_id, key): each record as the sorted array of its field-value integers."""
+    """(concept_id, key): each record with a non-blank name as the sorted array of its field-value integers."""
     values = fields(concepts)
-    codes = materialize(dictionary(values))
-    heavy = heavy_keys(values, ["kind", "raw"])
-    coded = split_join(values, codes, ["kind", "raw"], heavy).select("concept_id", "codes")
-    return coded.groupBy("concept_id").agg(F.sort_array(F.flatten(F.collect_list("codes"))).alias("key"))
+    book = dictionary(values)
+    total = book.agg(F.sum("n")).first()[0] or 0
+    heavy = book.filter(F.col("n") * HEAVY_PARTS > total).select("kind", "raw")
+    met = split_join(values, book.drop("n"), ["kind", "raw"], heavy).select("concept_id", "kind", "codes")
+    named = F.max(F.when(F.col("kind") == NAME, F.size("codes"))).alias("named")
+    rows = met.groupBy("concept_id").agg(F.sort_array(F.flatten(F.collect_list("codes"))).alias("key"), named)
+    return rows.filter("named > 0").select("concept_id", "key")
 
 
 def record_groups(concepts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -91,7 +112,8 @@ def copies(concepts: DataFrame) -> DataFrame:
     """
     records, groups = record_groups(concepts)
     groups = materialize(groups.filter(F.col("n_copies") > 1))
-    heavy = heavy_keys(records, ["key"])
+    total = groups.agg(F.sum("n_copies")).first()[0] or 0
+    heavy = groups.filter(F.col("n_copies") * HEAVY_PARTS > total).select("key")
     joined = split_join(records, groups, ["key"], heavy)
     return joined.filter(F.col("concept_id") != F.col("keep_id")).select("keep_id", F.col("concept_id").alias("copy_id"))
 

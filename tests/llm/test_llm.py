@@ -58,6 +58,20 @@ def test_copies(spark, seed):
     assert rows(dedup.collapsed(df).select("concept_id", "n_copies")) == sorted(((g[0], len(g)) for g in want.values()), key=repr)
 
 
+def test_identifiers_are_tried_until_none_is_shared(spark, monkeypatch):
+    tried = []
+    real = dedup.coded
+
+    def first_clashes(values, seed):
+        tried.append(seed)
+        book = real(values, seed)
+        return book.withColumn("codes", F.transform("codes", lambda _: F.lit(7).cast("bigint"))) if seed == 1 else book
+
+    monkeypatch.setattr(dedup, "coded", first_clashes)
+    df = spark.createDataFrame(dedup_rows(3, 40), C)
+    assert rows(dedup.copies(df)) == sorted(((g[0], i) for g in dedup_brute(dedup_rows(3, 40)).values() for i in g[1:]), key=repr) and tried == [1, 2]
+
+
 def test_copies_empty(spark):
     assert dedup.copies(spark.createDataFrame([], C)).count() == 0
 
