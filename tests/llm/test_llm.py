@@ -288,6 +288,34 @@ def test_residue_counts_across_sources(spark):
     assert masked == "Call 0 at <date>, see <url> or <mail>; error 404"
 
 
+def test_every_match_holds_a_literal_of_its_rule():
+    # All rules tried on all messages without the automaton find nothing that it would hide.
+    import regex
+
+    rules = residue.Rules()
+    mixed = [m for m in RESIDUE + PLAIN if m] + [f"Title of a page {m} Return to start" for m in RESIDUE] + [m.upper() for m in RESIDUE]
+    for m in mixed:
+        for kind, of_kind in residue.KINDS.items():
+            for literals, pattern in of_kind:
+                if regex.search(pattern, m, regex.I):
+                    assert any(x in m.lower() for x in literals), (pattern, m)
+        assert (rules.kind(m) is not None) >= any(regex.search(p, m, regex.I) for k, of_kind in residue.KINDS.items() if k not in residue.SPOKEN for _, p in of_kind)
+
+
+def test_repeats_count_once_a_document(spark):
+    d = spark.createDataFrame([(1, "Coming soon\nComing soon\nWords.", "a", 0)], D)
+    assert residue.found(d).count() == 0
+    two = d.union(spark.createDataFrame([(2, "Words.\nComing soon", "a", 0)], D))
+    assert {r.doc_id for r in residue.found(two).collect()} == {1, 2}
+    assert rows(residue.message_report(two).select("message", "n_docs")) == [("Coming soon", 2)]
+
+
+def test_residue_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(residue, "MAX_BROADCAST", 0)
+    d = spark.createDataFrame([(i, f"Words.\n{t}", "a", 0) for i, t in enumerate(["{{topic}}", "{{topic}}", "plain", "Dear ,"])], D)
+    assert {r.doc_id for r in residue.found(d).collect()} == {0, 1, 3}
+
+
 def test_residue_rules_need_no_cue(spark):
     # None of these has a mark or a word that a cheaper test before the rules looked for.
     texts = ["Not found", "Not found.", "NOT FOUND!", "Lesson.Title.Heading", "Sit amet elit sed erat quis."]
