@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import plain_space
+from pagewright.runtime import materialize
 
 #: Texts over this many characters are cut into chunks of about this many.
 CHUNK = 50_000
@@ -35,8 +36,15 @@ COMMON_SHARE, LETTER_SHARE, REPEAT_SHARE = 0.17, 0.6, 0.25
 PROSE_SHARE = 0.5
 
 
+def uncut(pages: DataFrame, size: int) -> DataFrame:
+    """(index_id, chunk, n_chunks, fresh, glue, glue_letters, part): each text of at most `size` characters as its only chunk."""
+    one, none = F.lit(1), F.lit(0)
+    return pages.filter(F.length("text") <= size).select(
+        "index_id", none.alias("chunk"), one.alias("n_chunks"), F.lit(None).cast("int").alias("fresh"), none.alias("glue"), none.alias("glue_letters"), plain_space("text").alias("part"))
+
+
 def chunked(pages: DataFrame, size: int) -> DataFrame:
-    """(index_id, chunk, n_chunks, fresh, glue, glue_letters, part): texts over `size` in chunks, others whole.
+    """As uncut, for texts over `size`, in chunks that are spread over the cluster.
 
     A chunk ends after white space and swallows what white space follows, so that a
     sentence's end or a line's end at its border is seen whole; without white space it
@@ -45,31 +53,26 @@ def chunked(pages: DataFrame, size: int) -> DataFrame:
     is 1 if the chunk's first visible character starts a line and no line end is before
     it in the chunk (null: the chunk is the text's first).
     """
-    texts = pages.filter(F.col("text").isNotNull())
-    one, none = F.lit(1), F.lit(0)
-    small = texts.filter(F.length("text") <= size).select(
-        "index_id", none.alias("chunk"), one.alias("n_chunks"), F.lit(None).cast("int").alias("fresh"), none.alias("glue"), none.alias("glue_letters"), plain_space("text").alias("part"))
     rest = size - 1
     cut = rf"(?s)(?:.{{0,{rest}}}[ \n]|.{{0,{rest}}}[^\p{{L}}\p{{N}}]|.{{1,{size}}})[ \n]*+"
-    huge = texts.filter(F.length("text") > size).withColumn("parts", F.regexp_extract_all(plain_space("text"), F.lit(cut), F.lit(0)))
+    huge = pages.filter(F.length("text") > size).withColumn("parts", F.regexp_extract_all(plain_space("text"), F.lit(cut), F.lit(0)))
     huge = huge.select("index_id", F.size("parts").alias("n_chunks"), F.posexplode_outer(F.transform("parts", lambda p, i: F.struct(
         p.alias("part"), F.when(i > 0, F.get("parts", i - 1)).alias("prev")))).alias("chunk", "p"))
     part, prev = F.col("p.part"), F.col("p.prev")
     glued = F.coalesce(F.regexp(F.right(prev, F.lit(1)), F.lit(TOKEN)) & F.regexp(F.left(part, F.lit(1)), F.lit(TOKEN)), F.lit(False))
     pure = ~F.regexp(prev, F.lit(r"\p{N}")) | F.regexp(part, F.lit(r"\A\p{L}+(?:\z|[^\p{L}\p{N}])"))
-    huge = huge.select(
+    return huge.select(
         "index_id", "chunk", "n_chunks",
         F.regexp(prev, F.lit(r"\n[ \n]*+\z")).cast("int").alias("fresh"),
         F.when(glued, 1).otherwise(0).alias("glue"),
-        F.when(glued & pure, 1).otherwise(0).alias("glue_letters"), part.alias("part"))
-    return small.unionByName(huge.repartition("index_id", "chunk"))
+        F.when(glued & pure, 1).otherwise(0).alias("glue_letters"), part.alias("part")).repartition("index_id", "chunk")
 
 
-def segments(pages: DataFrame, stop_words: list[str], size: int) -> DataFrame:
+def segments(chunks: DataFrame, stop_words: list[str]) -> DataFrame:
     """One row of counts per segment, or per part of one that a chunk's border cuts."""
     first, zero = F.col("pos") == 0, F.lit(0)
     end = F.when(F.col("chunk") == F.col("n_chunks") - 1, F.regexp_count("part", F.lit(TEXT_PUNCT_LAST))).otherwise(F.regexp_count("part", F.lit(PUNCT_LAST)))
-    parts = chunked(pages, size).select(
+    parts = chunks.select(
         "index_id", "chunk", "n_chunks", "glue", "glue_letters", F.split("part", SEGMENT_END).alias("pieces"),
         (F.regexp_count("part", F.lit(LINE_START)) + F.coalesce("fresh", F.regexp("part", F.lit(FIRST_LINE)).cast("int"))).alias("lines"), end.alias("punct_lines"))
     spread = parts.withColumn("n_pieces", F.size("pieces")).select(
@@ -135,9 +138,11 @@ def statistics(pages: DataFrame, stop_words: DataFrame, chunk: int = CHUNK) -> D
     without visible characters has shares of 0 and counts as prose: nothing in it is a
     list, a table or junk. Null texts give no row. index_id is taken to be unique.
     """
-    parts = segments(pages, stop_list(stop_words), chunk)
-    at_border = (F.col("n_chunks") > 1) & ((F.col("pos") == 0) | (F.col("pos") == F.col("n_pieces") - 1))
-    whole = judged(parts.filter(~at_border)).unionByName(judged(mended(parts.filter(at_border))))
+    stops = stop_list(stop_words)
+    # Counts of the huge texts' segments are written once, as inner and border segments are read apart.
+    huge = materialize(segments(chunked(pages, chunk), stops))
+    at_border = (F.col("pos") == 0) | (F.col("pos") == F.col("n_pieces") - 1)
+    whole = judged(segments(uncut(pages, chunk), stops)).unionByName(judged(huge.filter(~at_border))).unionByName(judged(mended(huge.filter(at_border))))
     return finish(whole.groupBy("index_id").agg(*(F.sum(c).alias(c) for c in [*COUNTS, "n_running"])))
 
 
