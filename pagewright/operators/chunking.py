@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.functions.vectors import cosine
 from pagewright.operators.cleaning import clean_pages, toc_block
+from pagewright.runtime import materialize
 
 DROP, MIN_PAGES, MAX_PAGES = 0.45, 3, 20
-#: Pages of one block; a document's blocks are folded apart and then put together.
-BLOCK = 512
+#: Pages of one block. Only one small entry per block of a document is ever put into one row:
+#: page numbers are 32-bit integers, so there are at most two million.
+BLOCK = 1024
 WORD = r"[\p{L}\p{N}]+"
+#: A provider of embeddings: a text column to a column of array<float>.
+Embedder = Callable[[Column], Column]
 
 
 def embed_text(text: Column) -> Column:
@@ -18,68 +25,106 @@ def embed_text(text: Column) -> Column:
     return F.when(F.length(text) > 20, text).otherwise(F.lit("empty page"))
 
 
-def page_similarity(pages: DataFrame) -> DataFrame:
-    """doc_id, page_number, prev_page, sim: cosine of word counts with the page before; a document's first page gives no row.
+def block_of(page: str) -> Column:
+    return F.floor(F.col(page) / BLOCK).alias("block")
+
+
+def page_order(rows: DataFrame, page: str) -> DataFrame:
+    """doc_id, page, prev_page: each page of a document (distinct rows) with the one before it, null for its first.
+
+    Within a block by a window; a block's first page follows the last one of the block
+    before, which is found from one entry per block.
+    """
+    blocks = rows.groupBy("doc_id", block_of(page)).agg(F.max(page).alias("last"))
+    entries = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block", "last"))).alias("bs"))
+    before = entries.select("doc_id", F.explode(F.transform("bs", lambda b, i: F.struct(
+        b["block"].alias("block"), F.when(i > 0, F.get("bs", i - 1)["last"]).alias("carried")))).alias("b")).select("doc_id", "b.*")
+    inside = Window.partitionBy("doc_id", "block").orderBy(page)
+    near = rows.select("doc_id", page, block_of(page)).withColumn("near", F.lag(page).over(inside))
+    return near.join(before, ["doc_id", "block"]).select("doc_id", page, F.coalesce("near", "carried").alias("prev_page"))
+
+
+def page_similarity(pages: DataFrame, embed: Embedder | None = None) -> DataFrame:
+    """doc_id, page_number, prev_page, sim: cosine with the page before; a document's first page gives no row.
 
-    Integer dot products and norms, so that thresholds fall alike in any engine. A word's
-    counts meet those of the page before by one window per document and word.
+    By default of word counts: integer dot products and norms, so that thresholds fall
+    alike in any engine. A page's counts and those of the page before meet in one
+    aggregation by page and word. With a provider, of its vectors.
     """
     clean = clean_pages(pages).select("doc_id", "page_number", embed_text(F.col("text")).alias("text"))
-    in_doc = Window.partitionBy("doc_id").orderBy("page_number")
-    order = clean.select("doc_id", "page_number").withColumn("prev_page", F.lag("page_number").over(in_doc))
+    order = page_order(clean.select("doc_id", "page_number"), "page_number").filter(F.col("prev_page").isNotNull())
+    if embed is not None:
+        vectors = materialize(clean.select("doc_id", "page_number", embed(F.col("text")).alias("e")))
+        theirs = vectors.select("doc_id", F.col("page_number").alias("prev_page"), F.col("e").alias("f"))
+        return order.join(vectors, ["doc_id", "page_number"]).join(theirs, ["doc_id", "prev_page"]).select(
+            "doc_id", "page_number", "prev_page", cosine(F.col("e"), F.col("f")).alias("sim"))
     words = clean.select("doc_id", "page_number", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word"))
-    counts = words.groupBy("doc_id", "page_number", "word").agg(F.count(F.lit(1)).alias("tf")).join(order, ["doc_id", "page_number"])
-    by_word = Window.partitionBy("doc_id", "word").orderBy("page_number")
-    met = counts.withColumn("before", F.when(F.lag("page_number").over(by_word) == F.col("prev_page"), F.lag("tf").over(by_word)))
-    sums = met.groupBy("doc_id", "page_number").agg(F.sum(F.col("tf") * F.col("tf")).alias("norm"), F.coalesce(F.sum(F.col("tf") * F.col("before")), F.lit(0)).alias("dot"))
-    both = order.join(sums, ["doc_id", "page_number"], "left").withColumn("norm_before", F.lag("norm").over(in_doc))
-    cosine = F.coalesce(F.try_divide(F.col("dot").cast("double"), F.sqrt(F.col("norm").cast("double") * F.col("norm_before"))), F.lit(0.0))
-    return both.filter(F.col("prev_page").isNotNull()).select("doc_id", "page_number", "prev_page", cosine.alias("sim"))
+    counts = words.groupBy("doc_id", "page_number", "word").agg(F.count(F.lit(1)).alias("tf"))
+    following = order.select("doc_id", F.col("prev_page").alias("page_number"), F.col("page_number").alias("next_page"))
+    zero = F.lit(0).cast("bigint")
+    shifted = counts.join(following, ["doc_id", "page_number"]).select("doc_id", F.col("next_page").alias("page_number"), "word", zero.alias("tf"), F.col("tf").alias("before"))
+    met = counts.withColumn("before", zero).unionByName(shifted).groupBy("doc_id", "page_number", "word").agg(F.sum("tf").alias("tf"), F.sum("before").alias("before"))
+    sums = met.groupBy("doc_id", "page_number").agg(
+        F.sum(F.col("tf") * F.col("tf")).alias("n1"), F.sum(F.col("before") * F.col("before")).alias("n2"), F.sum(F.col("tf") * F.col("before")).alias("dot"))
+    sim = F.coalesce(F.try_divide(F.col("dot").cast("double"), F.sqrt(F.col("n1").cast("double") * F.col("n2"))), F.lit(0.0))
+    return order.join(sums, ["doc_id", "page_number"], "left").select("doc_id", "page_number", "prev_page", sim.alias("sim"))
 
 
 def step(size: Column, sim: Column, drop: float, least: int, most: int) -> Column:
     """The size of the current chunk once the next page is taken in: 1 if it starts a chunk."""
     starts = (size >= most) | ((sim < 1 - drop) & (size >= least))
-    return F.when(starts, F.lit(1)).otherwise(size + 1)
+    return F.when(sim.isNull() | starts, F.lit(1)).otherwise(size + 1)
 
 
-def chunk_starts(sims: DataFrame, drop: float = DROP, least: int = MIN_PAGES, most: int = MAX_PAGES, block: int = BLOCK) -> DataFrame:
-    """doc_id, page_number, starts: whether the page starts a chunk; sims has all pages, null sim for the first.
+def assigned_chunks(sims: DataFrame, drop: float = DROP, least: int = MIN_PAGES, most: int = MAX_PAGES) -> DataFrame:
+    """doc_id, page_number, starts, chunk_index; sims has all pages, null sim for the first.
 
     The rule is a fold whose state is the chunk's size, at most `most`. So a block of
-    pages acts as a map of sizes to sizes: the maps of all blocks are made in parallel,
-    composed in order to find the size each block begins with, and each block is then
-    folded from there. Pages of one document are never collected beyond a block.
+    pages acts as a map of the size it begins with to the size it ends with and the
+    chunks begun in it: the maps of all blocks are made in parallel, one short entry
+    per block is put in order to find what each block begins with, and each block is
+    then folded from there.
     """
-    blocks = sims.withColumn("block", F.floor(F.col("page_number") / block)).groupBy("doc_id", "block").agg(
-        F.array_sort(F.collect_list(F.struct("page_number", "sim"))).alias("pages"))
+    blocks = sims.groupBy("doc_id", block_of("page_number")).agg(F.array_sort(F.collect_list(F.struct("page_number", "sim"))).alias("pages"))
+    blocks = materialize(blocks)
 
     def fold(size: Column) -> Column:
-        return F.aggregate("pages", size, lambda n, p: F.when(p["sim"].isNull(), F.lit(1)).otherwise(step(n, p["sim"], drop, least, most)))
-
-    maps = blocks.withColumn("to", F.transform(F.sequence(F.lit(1), F.lit(most)), fold))
-    in_doc = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    entered = maps.withColumn("before", F.collect_list("to").over(in_doc))
-    entry = F.aggregate("before", F.lit(1), lambda n, m: F.get(m, n - 1))
-    walked = entered.withColumn("entry", entry).select("doc_id", F.explode(F.aggregate(
+        return F.aggregate("pages", F.struct(size.alias("size"), F.lit(0).alias("begun")), lambda s, p: F.struct(
+            step(s["size"], p["sim"], drop, least, most).alias("size"),
+            (s["begun"] + F.when(step(s["size"], p["sim"], drop, least, most) == 1, 1).otherwise(0)).alias("begun")))
+
+    maps = blocks.select("doc_id", "block", F.transform(F.sequence(F.lit(1), F.lit(most)), fold).alias("to"))
+    state = "struct<size:int,begun:bigint>"
+    entry = F.aggregate(
+        F.array_sort(F.collect_list(F.struct("block", "to"))),
+        F.struct(F.lit(1).alias("size"), F.lit(0).cast("bigint").alias("begun"), F.array().cast(f"array<struct<block:bigint,entry:{state}>>").alias("out")),
+        lambda s, m: F.struct(
+            F.get(m["to"], s["size"] - 1)["size"].alias("size"),
+            (s["begun"] + F.get(m["to"], s["size"] - 1)["begun"]).alias("begun"),
+            F.concat(s["out"], F.array(F.struct(m["block"].alias("block"), F.struct(s["size"].alias("size"), s["begun"].alias("begun")).alias("entry")))).alias("out")),
+        lambda s: s["out"])
+    entries = maps.groupBy("doc_id").agg(entry.alias("es")).select("doc_id", F.explode("es").alias("e")).select("doc_id", "e.*")
+    out = "array<struct<page_number:int,size:int>>"
+    walked = blocks.join(entries, ["doc_id", "block"]).select("doc_id", "block", "entry", F.explode(F.aggregate(
         "pages",
-        F.struct(F.col("entry").alias("size"), F.array().cast("array<struct<page_number:int,starts:boolean>>").alias("out")),
-        lambda acc, p: F.struct(
-            F.when(p["sim"].isNull(), F.lit(1)).otherwise(step(acc["size"], p["sim"], drop, least, most)).alias("size"),
-            F.concat(acc["out"], F.array(F.struct(
-                p["page_number"].alias("page_number"),
-                (p["sim"].isNull() | (step(acc["size"], p["sim"], drop, least, most) == 1)).alias("starts")))).alias("out")),
-        lambda acc: acc["out"])).alias("p"))
-    return walked.select("doc_id", "p.page_number", "p.starts")
+        F.struct(F.col("entry.size").alias("size"), F.array().cast(out).alias("out")),
+        lambda s, p: F.struct(
+            step(s["size"], p["sim"], drop, least, most).alias("size"),
+            F.concat(s["out"], F.array(F.struct(p["page_number"].alias("page_number"), step(s["size"], p["sim"], drop, least, most).alias("size")))).alias("out")),
+        lambda s: s["out"])).alias("p"))
+    starts = F.col("p.size") == 1
+    upto = Window.partitionBy("doc_id", "block").orderBy("p.page_number").rowsBetween(Window.unboundedPreceding, 0)
+    return walked.select("doc_id", "p.page_number", starts.alias("starts"), (F.col("entry.begun") + F.sum(starts.cast("int")).over(upto) - 1).alias("chunk_index"))
 
 
-def semantic_chunks(pages: DataFrame, drop: float = DROP, least: int = MIN_PAGES, most: int = MAX_PAGES) -> DataFrame:
+def semantic_chunks(pages: DataFrame, drop: float = DROP, least: int = MIN_PAGES, most: int = MAX_PAGES, embed: Embedder | None = None) -> DataFrame:
     """doc_id, page_number, chunk_index (0-based): every page in one chunk, in order; documents without pages give no rows."""
-    sims = page_similarity(pages)
-    every = pages.select("doc_id", "page_number").distinct().join(sims, ["doc_id", "page_number"], "left")
-    starts = chunk_starts(every, drop, least, most)
-    in_doc = Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, 0)
-    return starts.withColumn("chunk_index", F.sum(F.col("starts").cast("int")).over(in_doc) - 1).select("doc_id", "page_number", "chunk_index")
+    return chunked(pages, page_similarity(pages, embed), drop, least, most)
+
+
+def chunked(pages: DataFrame, sims: DataFrame, drop: float = DROP, least: int = MIN_PAGES, most: int = MAX_PAGES) -> DataFrame:
+    every = pages.select("doc_id", "page_number").distinct().join(sims.select("doc_id", "page_number", "sim"), ["doc_id", "page_number"], "left")
+    return assigned_chunks(every, drop, least, most).select("doc_id", "page_number", "chunk_index")
 
 
 def chunk_list(assigned: DataFrame) -> DataFrame:
@@ -95,8 +140,8 @@ def label(index: Column, first: Column, last: Column) -> Column:
 
 def similarity_report(pages: DataFrame) -> DataFrame:
     """doc_id, page_number, line: one report line per pair of consecutive pages; it marks pages that start a chunk."""
-    sims = page_similarity(pages)
-    starts = semantic_chunks(pages).groupBy("doc_id", "chunk_index").agg(F.min("page_number").alias("page_number"))
+    sims = materialize(page_similarity(pages))
+    starts = chunked(pages, sims).groupBy("doc_id", "chunk_index").agg(F.min("page_number").alias("page_number"))
     marked = sims.join(starts, ["doc_id", "page_number"], "left")
     bar = F.rpad(F.repeat(F.lit("█"), (F.col("sim") * 20).cast("int")), 20, " ")
     line = F.concat(
@@ -106,17 +151,23 @@ def similarity_report(pages: DataFrame) -> DataFrame:
     return marked.select("doc_id", "page_number", line.alias("line"))
 
 
-def chunk_text(pages: DataFrame, chunks: DataFrame) -> DataFrame:
+def chunk_text(pages: DataFrame, chunks: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """doc_id, chunk_index, chunk_text: the chunk's pages in order, each under its head; pages under 20 characters give the head only.
 
+    images (doc_id, page_number, context) follow a page's text, but for contents pages
+    and pages that give the head only.
     A chunk lists at most MAX_PAGES pages, so what is put together in one row is bounded.
     Repeated chunk rows count once; listed pages that do not exist are left out.
     """
     content = clean_pages(pages).join(toc_block(pages).filter("in_toc_block").select("doc_id", "page_number", "in_toc_block"), ["doc_id", "page_number"], "left")
     toc = F.coalesce("in_toc_block", F.lit(False))
+    body = F.col("text")
+    if images is not None:
+        content = content.join(images.select("doc_id", "page_number", "context"), ["doc_id", "page_number"], "left")
+        body = F.when(~toc & (F.length("context") > 0), F.concat("text", F.lit("\n"), "context")).otherwise(F.col("text"))
     piece = F.concat(
         F.lit("\n\n===== PAGE "), (F.col("page_number") + 1).cast("string"), F.when(toc, " (TOC)").otherwise(""), F.lit(" =====\n"),
-        F.when(toc | (F.length("text") >= 20), F.col("text")).otherwise(""))
+        F.when(toc | (F.length("text") >= 20), body).otherwise(""))
     listed = chunks.select("doc_id", "chunk_index", F.explode("pages").alias("page_number")).distinct()
     joined = listed.join(content.select("doc_id", "page_number", piece.alias("piece")), ["doc_id", "page_number"])
     parts = F.array_sort(F.collect_list(F.struct("page_number", "piece")))

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.vectors import cosine, hashed_embedding
+from pagewright.operators.chunking import Embedder, page_order
 from pagewright.operators.cleaning import good_keyword, keyword_input, normal_term
+from pagewright.runtime import materialize
 
 TOP, NGRAMS, COHERENCE = 15, 3, 0.45
 
@@ -70,10 +72,19 @@ def score_candidates(tokens: DataFrame) -> DataFrame:
     return best.select("doc_id", "chunk_index", "term", F.round(score, 4).alias("score"))
 
 
-def topk_keywords(tokens: DataFrame, top: int = TOP) -> DataFrame:
+def embedded_candidates(tokens: DataFrame, embed: Embedder) -> DataFrame:
+    """As score_candidates, by a provider's vectors: each distinct candidate and each chunk's words are embedded once."""
+    terms = materialize(ngram_candidates(tokens))
+    vectors = materialize(terms.select("term").distinct().select("term", embed(F.col("term")).alias("e")))
+    whole = tokens.select("doc_id", "chunk_index", embed(F.array_join("tokens", " ")).alias("f"))
+    met = terms.join(vectors, "term").join(whole, ["doc_id", "chunk_index"])
+    return met.select("doc_id", "chunk_index", "term", F.round(cosine(F.col("e"), F.col("f")), 4).alias("score"))
+
+
+def topk_keywords(tokens: DataFrame, top: int = TOP, embed: Embedder | None = None) -> DataFrame:
     """doc_id, chunk_index, ord, term, score: the best candidates by score, then term; unsuitable ones are dropped after the cut."""
     best = Window.partitionBy("doc_id", "chunk_index").orderBy(F.desc("score"), "term")
-    ranked = score_candidates(tokens).withColumn("ord", F.row_number().over(best) - 1).filter(F.col("ord") < top)
+    ranked = (score_candidates(tokens) if embed is None else embedded_candidates(tokens, embed)).withColumn("ord", F.row_number().over(best) - 1).filter(F.col("ord") < top)
     return ranked.filter(good_keyword("term")).select("doc_id", "chunk_index", "ord", "term", "score")
 
 
@@ -112,14 +123,18 @@ def average_linkage(vectors: np.ndarray, n_clusters: int) -> list[int]:
     return out
 
 
-def keyword_clusters(keywords: DataFrame, threshold: float = COHERENCE) -> DataFrame:
+def word_embedding(term: F.Column) -> F.Column:
+    return hashed_embedding(F.split(term, " "))
+
+
+def keyword_clusters(keywords: DataFrame, threshold: float = COHERENCE, embed: Embedder = word_embedding) -> DataFrame:
     """doc_id, chunk_index, cluster_ord, name, terms, scores, coherence: average-linkage clusters of each chunk that are coherent.
 
     A chunk has at most some dozen keywords, so each is clustered in one task. Members
     are in order of score, then place; the name is the first's. Clusters of one term are
-    never coherent.
+    never coherent. Terms without an embedding are left out (missing_embeddings counts them).
     """
-    rows = distinct_keywords(keywords).withColumn("embedding", hashed_embedding(F.split("term", " ")))
+    rows = distinct_keywords(keywords).withColumn("embedding", embed(F.col("term"))).filter(F.col("embedding").isNotNull())
     chunks = rows.groupBy("doc_id", "chunk_index").agg(F.array_sort(F.collect_list(F.struct("ord", "term", "score", "embedding"))).alias("members"))
 
     def cluster(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,6 +159,12 @@ def keyword_clusters(keywords: DataFrame, threshold: float = COHERENCE) -> DataF
         cluster, "doc_id string, chunk_index int, cluster_ord int, name string, terms array<string>, scores array<double>, coherence double")
 
 
+def missing_embeddings(keywords: DataFrame, embed: Embedder = word_embedding) -> DataFrame:
+    """doc_id, chunk_index, n_missing: terms that the provider gives no vector for; chunks without any give no row."""
+    rows = distinct_keywords(keywords).filter(embed(F.col("term")).isNull())
+    return rows.groupBy("doc_id", "chunk_index").agg(F.count(F.lit(1)).alias("n_missing"))
+
+
 def cluster_coherence(vectors: DataFrame, label: str = "label") -> DataFrame:
     """label, n_members, coherence: mean of the full cosine matrix of each group; 0 for groups of one.
 
@@ -162,8 +183,9 @@ def cosine_pairs(page_index: DataFrame) -> DataFrame:
 
     Of pages indexed twice the last counts (then the greater index_id); rows without an embedding are left out.
     """
-    rows = page_index.filter(F.col("embedding").isNotNull()).groupBy("doc_id", "page").agg(F.max_by("embedding", F.struct("indexed_at", "index_id")).alias("e"))
-    before = F.lag("e").over(Window.partitionBy("doc_id").orderBy("page"))
-    pairs = rows.withColumn("f", before).filter(F.col("f").isNotNull())
+    rows = materialize(page_index.filter(F.col("embedding").isNotNull()).groupBy("doc_id", "page").agg(F.max_by("embedding", F.struct("indexed_at", "index_id")).alias("e")))
+    order = page_order(rows.select("doc_id", "page"), "page").filter(F.col("prev_page").isNotNull())
+    theirs = rows.select("doc_id", F.col("page").alias("prev_page"), F.col("e").alias("f"))
+    pairs = order.join(rows, ["doc_id", "page"]).join(theirs, ["doc_id", "prev_page"])
     sim = cosine(F.col("e"), F.col("f"))
     return pairs.select("doc_id", "page", F.round(sim, 6).alias("cosine"), F.round(F.greatest(1 - sim, F.lit(0.0)), 6).alias("distance"))

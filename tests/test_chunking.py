@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,10 +18,10 @@ def plain(sims, drop=0.45, least=3, most=20):
     return starts
 
 
-def starts_of(spark, sims, block=512, **kw):
+def starts_of(spark, sims, **kw):
     rows = [("D", 0, None)] + [("D", i, float(s)) for i, s in enumerate(sims, 1)]
     df = spark.createDataFrame(rows, "doc_id string, page_number int, sim double")
-    return sorted(r.page_number for r in chunking.chunk_starts(df, block=block, **kw).filter("starts").collect())
+    return sorted(r.page_number for r in chunking.assigned_chunks(df, **kw).filter("starts").collect())
 
 
 @pytest.mark.parametrize("sims,want", [([.9, .1, .2, .1, .9, .3, .2], [0, 3, 6]), ([.9] * 24, [0, 20]), ([.1], [0]), ([], [0]), ([.9, .9, .55], [0])])
@@ -28,11 +29,29 @@ def test_cases(spark, sims, want):
     assert starts_of(spark, sims) == want
 
 
-def test_blocks_compose(spark):
+def test_blocks_compose(spark, monkeypatch):
     rng = random.Random(5)
-    for n in (9, 40, 90):
-        sims = [rng.choice([.1, .5, .54, .56, .9]) for _ in range(n)]
-        assert starts_of(spark, sims, block=7) == plain(sims)
+    monkeypatch.setattr(chunking, "BLOCK", 7)
+    sims = [rng.choice([.1, .5, .54, .56, .9]) for _ in range(90)]
+    assert starts_of(spark, sims) == plain(sims)
+
+
+def test_long_document(spark):
+    # 100,000 pages of one document, every third number missing: no task sorts them all.
+    rng = random.Random(6)
+    n = 100_000
+    sims = [rng.choice([.1, .5, .9]) for _ in range(n - 1)]
+    numbers = [i + i // 2 for i in range(n)]
+    rows = pd.DataFrame({"doc_id": "D", "page_number": numbers, "sim": [None, *sims]})
+    df = spark.createDataFrame(rows, "doc_id string, page_number int, sim double").withColumn("sim", F.nanvl("sim", F.lit(None)))
+    got = chunking.assigned_chunks(df)
+    assert sorted(r.page_number for r in got.filter("starts").collect()) == [numbers[i] for i in plain(sims)]
+    assert got.agg(F.max("chunk_index")).first()[0] == len(plain(sims)) - 1
+    order = chunking.page_order(df.select("doc_id", "page_number"), "page_number")
+    assert [tuple(r) for r in order.orderBy("page_number").select("page_number", "prev_page").collect()] == list(zip(numbers, [None, *numbers]))
+    for plan in (got, order):
+        windows = [x for x in plan._jdf.queryExecution().executedPlan().toString().split("\n") if "Window [" in x]
+        assert windows and all("block" in x for x in windows)
 
 
 def test_similarity(spark):
