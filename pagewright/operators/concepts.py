@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.operators.cleaning import normal_term, strip_fences
+from pagewright.functions.vectors import cosine
+from pagewright.operators.chunking import Embedder
+from pagewright.operators.cleaning import clean_pages, strip_fences
+from pagewright.runtime import materialize
 
 MAX_PROMPT, FOUND_AT = 20_000, 0.5
 WORD = r"[\p{L}\p{N}]+"
-REPLY = "struct<concepts:array<struct<name:string,prerequisites:array<string>>>>"
 #: A concept that no curriculum page supports, for self-checks.
 CANARY = ("quantum entanglement theory", ["relativistic calculus", "wave function collapse"])
 
@@ -48,36 +52,77 @@ Return ONLY valid JSON, no explanation, no markdown:
 
 
 def prompts(chunks: DataFrame, names: DataFrame, toc: DataFrame) -> DataFrame:
-    """doc_id, prompt, status: one prompt per document with chunks; too long ones are marked and not sent.
+    """doc_id, n_chars, prompt, status: one prompt per document with chunks; one over MAX_PROMPT characters is measured, not put together (null).
 
-    names(doc_id, chunk_index, name_ord, name) are the clusters; a chunk without any
-    stays as an empty section. A document's sections come to at most MAX_PROMPT
-    characters where a prompt is sent; the label of a chunk is taken from chunks.
+    names(doc_id, chunk_index, name_ord, name) are the clusters of the chunks that have
+    keywords. A chunk without a row there had no keywords and does not appear; one whose
+    only row has a null name lost all its clusters to the filter and stays as an empty
+    section. The label of a chunk is taken from chunks.
     """
-    lines = names.filter(F.col("name").isNotNull()).groupBy("doc_id", "chunk_index").agg(
-        F.array_sort(F.collect_list(F.struct("name_ord", "name"))).alias("names"))
+    line = F.concat(F.lit("    - "), "name", F.lit("\n"))
+    known = names.withColumn("line", F.coalesce(line, F.lit("")))
     labels = chunks.groupBy("doc_id", "chunk_index").agg(F.coalesce(F.max("label"), F.lit("")).alias("label"))
-    listed = F.array_join(F.transform(F.coalesce("names", F.array().cast("array<struct<name_ord:int,name:string>>")), lambda n: F.concat(F.lit("    - "), n["name"], F.lit("\n"))), "")
-    section = labels.join(lines, ["doc_id", "chunk_index"], "left").select(
-        "doc_id", "chunk_index", F.concat(F.lit("\n  "), "label", F.lit("\n"), listed).alias("section"))
-    body = section.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "section"))).alias("sections"))
     head, rest = PROMPT.split("{toc}")
     middle, tail = rest.split("{clusters}")
-    text = F.concat(F.lit(head), F.coalesce("toc_context", F.lit("")), F.lit(middle), F.array_join(F.transform("sections", lambda s: s["section"]), ""), F.lit(tail))
-    return body.join(toc, "doc_id", "left").select("doc_id", text.alias("prompt")).withColumn(
-        "status", F.when(F.length("prompt") > MAX_PROMPT, "prompt_too_large").otherwise("ok"))
+    contents = F.coalesce("toc_context", F.lit(""))
+    # Lengths first: only what fits into a prompt is ever put into one row.
+    per_chunk = known.groupBy("doc_id", "chunk_index").agg(F.sum(F.length("line")).alias("n")).join(labels, ["doc_id", "chunk_index"])
+    per_doc = per_chunk.groupBy("doc_id").agg(F.sum(F.col("n") + F.length("label") + 4).alias("n"))
+    sized = chunks.select("doc_id").distinct().join(per_doc, "doc_id", "left").join(toc, "doc_id", "left").withColumn(
+        "n_chars", F.coalesce("n", F.lit(0)) + F.length(contents) + len(head + middle + tail))
+    fits = sized.filter(F.col("n_chars") <= MAX_PROMPT).select("doc_id")
+    sections = known.join(fits, "doc_id", "left_semi").groupBy("doc_id", "chunk_index").agg(
+        F.array_sort(F.collect_list(F.struct("name_ord", "line"))).alias("ls")).join(labels, ["doc_id", "chunk_index"])
+    section = F.concat(F.lit("\n  "), "label", F.lit("\n"), F.array_join(F.transform("ls", lambda x: x["line"]), "")).alias("section")
+    body = sections.select("doc_id", "chunk_index", section).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "section"))).alias("ss"))
+    listed = F.coalesce(F.array_join(F.transform("ss", lambda x: x["section"]), ""), F.lit(""))
+    text = F.concat(F.lit(head), contents, F.lit(middle), listed, F.lit(tail))
+    fit = F.col("n_chars") <= MAX_PROMPT
+    return sized.join(body, "doc_id", "left").select(
+        "doc_id", "n_chars", F.when(fit, text).alias("prompt"), F.when(fit, "ok").otherwise("prompt_too_large").alias("status"))
+
+
+def ask(prompted: DataFrame, chat: Callable[[Column], Column]) -> DataFrame:
+    """doc_id, raw, status, error: what a chat provider (struct<value, error>) answers to the prompts that fit; written once, as answers vary.
+
+    Prompts that do not fit are not sent and keep their status; a failed call is llm_error.
+    """
+    sent = materialize(prompted.filter("status = 'ok'").select("doc_id", chat(F.col("prompt")).alias("a")).select("doc_id", "a.value", "a.error"))
+    answered = sent.select("doc_id", F.col("value").alias("raw"), F.when(F.col("error").isNull() & F.col("value").isNotNull(), "ok").otherwise("llm_error").alias("status"), "error")
+    unsent = prompted.filter("status <> 'ok'").select("doc_id", F.lit(None).cast("string").alias("raw"), "status", F.lit(None).cast("string").alias("error"))
+    return answered.unionByName(unsent)
 
 
-def parse_replies(raw: DataFrame) -> DataFrame:
-    """reply_id, doc_id, body, status, n_concepts per distinct reply: json_error where the body is no object with a list of concepts."""
-    replies = raw.select("reply_id", "doc_id", strip_fences("raw").alias("body")).distinct()
+def parsed(rows: DataFrame) -> DataFrame:
+    """rows (with raw) and body, entries, status.
+
+    ok where the body is an object with a list of concepts that all have a name and
+    prerequisites; json_error where it is no JSON; llm_error where it is JSON of another
+    shape, or no reply came.
+    """
+    body = rows.withColumn("body", strip_fences("raw"))
     # A null marks a body that is not JSON as a whole; from_json alone would also read a broken one's beginning.
     whole = F.try_parse_json("body").isNotNull()
-    parsed = replies.withColumn("parsed", F.when(whole, F.from_json("body", REPLY)))
-    ok = F.col("parsed.concepts").isNotNull()
-    return parsed.select(
-        "reply_id", "doc_id", "body", F.when(ok, "ok").otherwise("json_error").alias("status"),
-        F.when(ok, F.size("parsed.concepts")).otherwise(0).cast("bigint").alias("n_concepts"))
+    entries = F.from_json("body", "struct<concepts:array<map<string,string>>>")["concepts"]
+    shaped = F.when(whole, entries)
+    good = F.coalesce(F.forall(shaped, lambda e: F.coalesce(F.map_contains_key(e, "name") & F.map_contains_key(e, "prerequisites"), F.lit(False))), F.lit(False))
+    out = body.withColumn("entries", F.when(good, shaped))
+    return out.withColumn("status", F.when(F.col("raw").isNull(), "llm_error").when(good, "ok").when(whole, "llm_error").otherwise("json_error"))
+
+
+def parse_replies(raw: DataFrame) -> DataFrame:
+    """reply_id, doc_id, body, status (see parsed), n_concepts per distinct reply."""
+    replies = parsed(raw.select("reply_id", "doc_id", "raw").distinct())
+    return replies.select("reply_id", "doc_id", "body", "status", F.coalesce(F.size("entries"), F.lit(0)).cast("bigint").alias("n_concepts"))
+
+
+def reply_concepts(replies: DataFrame) -> DataFrame:
+    """doc_id, ord, name, prerequisites, extra (JSON object of the further keys) of the replies (doc_id, raw) that are ok, in their order."""
+    rows = parsed(replies).filter("status = 'ok'").select("doc_id", F.posexplode("entries").alias("ord", "e"))
+    rest = F.map_filter("e", lambda k, v: ~k.isin("name", "prerequisites"))
+    return rows.select(
+        "doc_id", "ord", F.col("e")["name"].alias("name"), F.from_json(F.col("e")["prerequisites"], "array<string>").alias("prerequisites"),
+        F.when(F.size(rest) > 0, F.to_json(rest)).alias("extra"))
 
 
 def canary(doc_ids: DataFrame) -> DataFrame:
@@ -87,40 +132,72 @@ def canary(doc_ids: DataFrame) -> DataFrame:
 
 
 def word_counts(rows: DataFrame, keys: list[str], text: Column, stops: DataFrame) -> DataFrame:
+    """The stop list is joined as the planner sees fit: it is broadcast only if its size allows."""
     words = rows.select(*keys, F.explode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("word"))
-    return words.join(F.broadcast(stops), "word", "left_anti").groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("tf"))
+    return words.join(stops, "word", "left_anti").groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def given_index(page_index: DataFrame) -> DataFrame:
+    """doc_id, page, text of an indexed table: pages of more than 20 characters, of those indexed twice the last."""
+    return page_index.filter(F.length("text") > 20).groupBy("doc_id", "page").agg(F.max_by("text", F.struct("indexed_at", "index_id")).alias("text"))
+
 
+def built_index(pages: DataFrame) -> DataFrame:
+    """doc_id, page (1-based), text: the cleaned pages of more than 20 characters."""
+    return clean_pages(pages).filter(F.length("text") > 20).select("doc_id", (F.col("page_number") + 1).alias("page"), "text")
 
-def verify(names: DataFrame, page_index: DataFrame, stop_words: DataFrame) -> DataFrame:
-    """doc_id, name, best, best_page: the page that is nearest to each distinct name (cosine of word counts), 0 and null without any.
 
-    Names are compared once however often they occur. Stop words are left out, so that
-    names and pages meet only on words that tell; a name's pages are reduced by the
-    word in an aggregation, never listed. Of equal pages the first counts. The stop list is a fixed table.
+def nearest_by_words(asked: DataFrame, index: DataFrame, stop_words: DataFrame) -> DataFrame:
+    """doc_id, name, page, sim of names and pages that share a word: cosine of word counts.
+
+    Names and pages meet by word and are reduced in an aggregation, never listed. A
+    word that is frequent in a hot document is split on both sides by the adaptive
+    skew join.
     """
     stops = stop_words.select(F.lower("word").alias("word")).distinct()
-    asked = names.filter(F.col("name").isNotNull()).select("doc_id", "name").distinct()
     own = word_counts(asked, ["doc_id", "name"], F.col("name"), stops)
-    pages = page_index.filter(F.length("text") > 20).groupBy("doc_id", "page").agg(F.max_by("text", F.struct("indexed_at", "index_id")).alias("text"))
-    theirs = word_counts(pages, ["doc_id", "page"], F.col("text"), stops)
+    theirs = word_counts(index, ["doc_id", "page"], F.col("text"), stops)
     own_norm = own.groupBy("doc_id", "name").agg(F.sum(F.col("tf") * F.col("tf")).alias("n1"))
     page_norm = theirs.groupBy("doc_id", "page").agg(F.sum(F.col("tf") * F.col("tf")).alias("n2"))
     dots = own.withColumnRenamed("tf", "own").join(theirs, ["doc_id", "word"]).groupBy("doc_id", "name", "page").agg(F.sum(F.col("own") * F.col("tf")).alias("dot"))
-    sims = dots.join(own_norm, ["doc_id", "name"]).join(page_norm, ["doc_id", "page"]).withColumn(
+    return dots.join(own_norm, ["doc_id", "name"]).join(page_norm, ["doc_id", "page"]).withColumn(
         "sim", F.col("dot").cast("double") / F.sqrt(F.col("n1").cast("double") * F.col("n2")))
+
+
+def nearest_by_vectors(asked: DataFrame, index: DataFrame, embed: Embedder, block: int = 256) -> DataFrame:
+    """doc_id, name, page, sim: each name's nearest page in every block of pages of its document, by a provider's vectors.
+
+    Each name and page is embedded once. A row holds a block of vectors, so a name meets
+    a document's pages in as many rows as it has blocks.
+    """
+    names = materialize(asked.select("doc_id", "name", embed(F.col("name")).alias("e")))
+    vectors = materialize(index.select("doc_id", "page", embed(F.col("text")).alias("v")))
+    blocks = vectors.groupBy("doc_id", F.floor(F.col("page") / block).alias("block")).agg(F.collect_list(F.struct("page", "v")).alias("vs"))
+    best = F.array_max(F.transform("vs", lambda p: F.struct(cosine(F.col("e"), p["v"]).alias("sim"), (-p["page"]).alias("down"))))
+    return names.join(blocks, "doc_id").select("doc_id", "name", best.alias("b")).select("doc_id", "name", (-F.col("b.down")).alias("page"), "b.sim")
+
+
+def verify(names: DataFrame, index: DataFrame, stop_words: DataFrame | None = None, embed: Embedder | None = None) -> DataFrame:
+    """doc_id, name, best, best_page: the page (doc_id, page, text) that is nearest to each distinct name, 0 and null without any.
+
+    By word counts without stop words, or by the vectors of a provider. Names are
+    compared once however often they occur. Of equal pages the first counts.
+    """
+    asked = names.filter(F.col("name").isNotNull()).select("doc_id", "name").distinct()
+    sims = nearest_by_words(asked, index, stop_words) if embed is None else nearest_by_vectors(asked, index, embed)
     best = sims.groupBy("doc_id", "name").agg(F.max("sim").alias("best"), F.max_by("page", F.struct("sim", -F.col("page"))).alias("best_page"))
     return asked.join(best, ["doc_id", "name"], "left").select("doc_id", "name", F.coalesce("best", F.lit(0.0)).alias("best"), "best_page")
 
 
-def verification(names: DataFrame, page_index: DataFrame, stop_words: DataFrame, threshold: float = FOUND_AT) -> DataFrame:
+def verification(names: DataFrame, index: DataFrame, stop_words: DataFrame | None = None, threshold: float = FOUND_AT, embed: Embedder | None = None) -> DataFrame:
     """doc_id, concept, found (by the unrounded score), score (3 places), best_page."""
-    return verify(names, page_index, stop_words).select(
+    return verify(names, index, stop_words, embed).select(
         "doc_id", F.col("name").alias("concept"), (F.col("best") >= threshold).alias("found"), F.round("best", 3).alias("score"), "best_page")
 
 
 def current(concepts: DataFrame) -> DataFrame:
     """The concepts that count: not deleted, with a document and a name."""
-    return concepts.filter(F.col("deleted_at").isNull() & F.col("doc_id").isNotNull() & F.col("name").isNotNull()).select("concept_id", "doc_id", "name", "prerequisites")
+    return concepts.filter(F.col("deleted_at").isNull() & F.col("doc_id").isNotNull() & F.col("name").isNotNull()).select("concept_id", "doc_id", "name", "prerequisites", *([c for c in ("extra",) if c in concepts.columns]))
 
 
 def items(concepts: DataFrame) -> DataFrame:
@@ -137,13 +214,12 @@ def found_names(verified: DataFrame) -> DataFrame:
 
 
 def clean_concepts(concepts: DataFrame, found: DataFrame) -> DataFrame:
-    """concept_id, doc_id, name, prerequisites: found concepts with their found prerequisites, in order; none left gives an empty list."""
+    """concept_id, doc_id, name, prerequisites, extra (where concepts has it): found concepts with their found prerequisites, in order; none left gives an empty list."""
     kept = current(concepts).join(found, ["doc_id", "name"], "left_semi")
     entries = kept.select("concept_id", "doc_id", F.posexplode("prerequisites").alias("pos", "name")).join(found, ["doc_id", "name"], "left_semi")
-    lists = entries.groupBy("concept_id").agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("entries"))
-    return kept.select("concept_id", "doc_id", "name").join(lists, "concept_id", "left").select(
-        "concept_id", "doc_id", "name",
-        F.coalesce(F.transform("entries", lambda e: e["name"]), F.array().cast("array<string>")).alias("prerequisites"))
+    lists = entries.groupBy("doc_id", "concept_id").agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("entries"))
+    left = F.coalesce(F.transform("entries", lambda e: e["name"]), F.array().cast("array<string>"))
+    return kept.drop("prerequisites").join(lists, ["doc_id", "concept_id"], "left").withColumn("prerequisites", left).drop("entries")
 
 
 def flagged(concepts: DataFrame, found: DataFrame) -> DataFrame:
@@ -157,7 +233,3 @@ def flagged(concepts: DataFrame, found: DataFrame) -> DataFrame:
     bad = entries.filter(F.col("name").isNotNull()).join(found, ["doc_id", "name"], "left_anti").select(
         "concept_id", "doc_id", F.lit("prerequisite").alias("kind"), "ord", F.col("name").alias("item"))
     return lost.unionByName(bad)
-
-
-def same_term(a: Column | str, b: Column | str) -> Column:
-    return normal_term(a) == normal_term(b)

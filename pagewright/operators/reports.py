@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The texts of the reports here are those that readers of the format expect.
 RULE = "═" * 54
 
 
@@ -26,15 +27,19 @@ def concept_lines(concepts: DataFrame) -> DataFrame:
         F.lit("  Concept: "), F.coalesce("name", F.lit("Unknown")), F.lit("\n  Prerequisites: "), listed, F.lit("\n\n")).alias("line"))
 
 
-def concept_report(concepts: DataFrame, flagged: DataFrame) -> DataFrame:
+def concept_report(concepts: DataFrame, flagged: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """doc_id, part, concept_id, ord, line: the final report as ordered lines: head (0), concepts (1), head of the flagged (2), flagged (3).
 
-    A document without concepts but with flagged items says that none were extracted.
+    A document without concepts but with flagged items says that none were extracted,
+    as does one of documents (doc_id) that has neither.
     Lines stay rows: a report is put together by its order, not in one cell.
     """
     entries = concept_lines(concepts).select("doc_id", F.lit(1).alias("part"), "concept_id", F.lit(-1).alias("ord"), "line")
     bad = flagged.select("doc_id", F.lit(3).alias("part"), "concept_id", "ord", F.concat(F.lit("  ⚠ "), "item", F.lit("\n")).alias("line"))
-    docs = entries.select("doc_id", F.lit(1).alias("c"), F.lit(0).alias("f")).union(bad.select("doc_id", F.lit(0), F.lit(1))).groupBy("doc_id").agg(F.max("c").alias("c"), F.max("f").alias("f"))
+    held = entries.select("doc_id", F.lit(1).alias("c"), F.lit(0).alias("f")).union(bad.select("doc_id", F.lit(0), F.lit(1)))
+    if documents is not None:
+        held = held.union(documents.select("doc_id", F.lit(0), F.lit(0)))
+    docs = held.groupBy("doc_id").agg(F.max("c").alias("c"), F.max("f").alias("f"))
 
     def head(part: int, line: Column) -> DataFrame:
         return docs.select("doc_id", "c", "f", F.lit(part).alias("part"), F.lit(None).cast("bigint").alias("concept_id"), F.lit(-1).alias("ord"), line.alias("line"))
@@ -67,8 +72,26 @@ def page_image_context(images: DataFrame) -> DataFrame:
 
 
 def concepts_json(concepts: DataFrame) -> DataFrame:
-    """doc_id, value: one JSON object per concept; a document's objects make its concept graph."""
-    return concepts.select("doc_id", F.to_json(F.struct("name", "prerequisites")).alias("value"))
+    """doc_id, value: the concept graph of each document as one JSON object {"concepts": [...]}, further keys of a concept beside its own.
+
+    In the order of concept_id, or of the names where there is none. A graph comes from
+    one reply of a model, so it fits into a row.
+    """
+    extra = F.col("extra") if "extra" in concepts.columns else F.lit(None).cast("string")
+    own = F.to_json(F.struct("name", "prerequisites"))
+    # Both are objects; the further keys go before the last brace.
+    one = F.when(F.length(extra) > 2, F.concat(F.left(own, F.length(own) - 1), F.lit(","), F.substr(extra, F.lit(2)))).otherwise(own)
+    order = "concept_id" if "concept_id" in concepts.columns else "name"
+    parts = F.array_sort(F.collect_list(F.struct(order, one.alias("one"))))
+    return concepts.groupBy("doc_id").agg(parts.alias("ps")).select(
+        "doc_id", F.concat(F.lit('{"concepts":['), F.array_join(F.transform("ps", lambda p: p["one"]), ","), F.lit("]}")).alias("value"))
+
+
+def chunk_lines(chunks: DataFrame, texts: DataFrame) -> DataFrame:
+    """doc_id, chunk_index, line: the head and text of each chunk."""
+    labels = chunks.groupBy("doc_id", "chunk_index").agg(F.coalesce(F.max("label"), F.lit("")).alias("label"))
+    return texts.join(labels, ["doc_id", "chunk_index"]).select(
+        "doc_id", "chunk_index", F.concat(F.lit("\n\n===== "), "label", F.lit(" =====\n"), "chunk_text").alias("line"))
 
 
 def write_report(lines: DataFrame, path: str) -> None:
@@ -77,5 +100,5 @@ def write_report(lines: DataFrame, path: str) -> None:
 
 
 def write_concepts(concepts: DataFrame, path: str) -> None:
-    """Write the concepts as JSON lines, a folder per document."""
+    """Write the concept graph of each document, a folder per document."""
     concepts_json(concepts).repartition("doc_id").write.mode("overwrite").partitionBy("doc_id").text(path)

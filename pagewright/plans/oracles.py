@@ -75,7 +75,9 @@ CHUNKED = """, walk AS (
   FROM walk w JOIN sims s ON s.doc_id = w.doc_id AND s.o = w.o + 1
 )"""
 
-CHUNK_TEXT = TOC + """, listed AS (SELECT DISTINCT doc_id, chunk_index, unnest(pages) AS page_number FROM chunks
+LISTED = "SELECT DISTINCT doc_id, chunk_index, unnest(pages) AS page_number FROM chunks"
+SEGMENTED = "SELECT doc_id, idx::BIGINT AS chunk_index, page_number FROM walk"
+CHUNK_TEXT = TOC + f""", listed AS ({LISTED}
 ), chunk_texts AS (
   SELECT l.doc_id, l.chunk_index, string_agg(chr(10) || chr(10) || '===== PAGE ' || (l.page_number + 1) || CASE WHEN b.in_toc_block THEN ' (TOC)' ELSE '' END || ' =====' || chr(10)
     || CASE WHEN b.in_toc_block OR length(t.text) >= 20 THEN t.text ELSE '' END, '' ORDER BY l.page_number) AS chunk_text
@@ -191,6 +193,13 @@ WITH m AS (SELECT a.label, count(*) AS n2, avg(list_sum(list_transform(range(1,
     / sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x)) * list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x)))) AS c
   FROM embeddings a JOIN embeddings b ON a.label = b.label GROUP BY a.label),
 k AS (SELECT label, sqrt(n2)::BIGINT AS n_members, round(CASE WHEN n2 > 1 THEN c ELSE 0 END, 6) AS coherence FROM m)"""
+    top = rf""", tf AS (SELECT doc_id, chunk_index, word, count(*) AS tf FROM (SELECT doc_id, chunk_index, unnest(ts) AS word FROM tokens) GROUP BY ALL),
+            nn AS (SELECT doc_id, chunk_index, sum(tf * tf) AS n FROM tf GROUP BY ALL),
+            ow AS (SELECT doc_id, chunk_index, term, word, count(*) AS own FROM (SELECT doc_id, chunk_index, term, unnest(string_split(term, ' ')) AS word FROM candidates) GROUP BY ALL),
+            dd AS (SELECT doc_id, chunk_index, term, sum(own * tf) AS dot, sum(own * own) AS n1 FROM ow JOIN tf USING (doc_id, chunk_index, word) GROUP BY ALL),
+            sc AS (SELECT doc_id, chunk_index, term, round(dot::DOUBLE / sqrt(n1::DOUBLE * n), 4) AS score FROM dd JOIN nn USING (doc_id, chunk_index)),
+            rk AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY score DESC, term) - 1)::INTEGER AS ord FROM sc)
+            SELECT doc_id, chunk_index, ord, term, score FROM rk WHERE ord < 15 AND NOT regexp_matches(term, '(?:^|[^\p{{L}}\p{{N}}_])(?:{BAD_KEYWORDS})(?:[^\p{{L}}\p{{N}}_]|$)')"""
     report = f"""
 WITH {TERMS}, g AS (
   SELECT doc_id, chunk_index, left(term, 1) AS letter, min(ord) AS cluster_ord, first(term ORDER BY score DESC, ord, term) AS name,
@@ -216,6 +225,12 @@ SELECT g.doc_id, g.chunk_index, chr(10) || '===== KEYWORD CLUSTERS FOR ' || labe
             SELECT doc_id, chunk_index, ord, term, len(string_split(term, ' ')) <= 4 AND NOT regexp_matches(lower(raw), '(?:^|[^\p{{L}}\p{{N}}_])(?:{BAD_KEYWORDS})(?:[^\p{{L}}\p{{N}}_]|$)') AS good FROM n""",
         "strip_fences": rf"""SELECT reply_id, doc_id, regexp_replace(regexp_replace(regexp_replace({strip('raw')}, '\A```json\s*', ''), '\A```\s*', ''), '\s*```\z', '') AS body
             FROM (SELECT DISTINCT reply_id, doc_id, raw FROM llm_raw)""",
+        "parse_replies": rf"""WITH b AS (SELECT reply_id, doc_id, raw, regexp_replace(regexp_replace(regexp_replace({strip('raw')}, '\A```json\s*', ''), '\A```\s*', ''), '\s*```\z', '') AS body FROM (SELECT DISTINCT reply_id, doc_id, raw FROM llm_raw)),
+            v AS (SELECT *, CASE WHEN json_valid(body) THEN body END AS j FROM b),
+            k AS (SELECT *, CASE WHEN json_type(j, '$.concepts') = 'ARRAY' THEN j::JSON->'$.concepts[*]' END AS es FROM v),
+            g AS (SELECT *, es IS NOT NULL AND len(list_filter(es, lambda e: NOT coalesce(json_exists(e, '$.name') AND json_exists(e, '$.prerequisites'), false))) = 0 AS good FROM k)
+            SELECT reply_id, doc_id, CASE WHEN raw IS NULL THEN 'llm_error' WHEN good THEN 'ok' WHEN j IS NOT NULL THEN 'llm_error' ELSE 'json_error' END AS status,
+              CASE WHEN good THEN len(es) ELSE 0 END AS n_concepts FROM g""",
         "toc_detect": f"WITH {LATEST}{TOC} SELECT doc_id, page_number, is_toc FROM toc",
         "toc_block": f"WITH {LATEST}{TOC} SELECT doc_id, page_number, is_toc, in_toc_block FROM block",
         "page_similarity": f"WITH {CLEAN}{SIMS} SELECT doc_id, page_number, prev_page, sim FROM sims",
@@ -229,13 +244,8 @@ SELECT g.doc_id, g.chunk_index, chr(10) || '===== KEYWORD CLUSTERS FOR ' || labe
         "image_descriptions": DESCRIBED + " SELECT doc_id, page_number, img_index, description FROM d",
         "page_image_context": DESCRIBED + " SELECT doc_id, page_number, chr(10) || string_agg(description, chr(10) ORDER BY img_index) || chr(10) AS context FROM d GROUP BY ALL",
         "ngram_candidates": f"WITH {CLEAN}{TOKENS} SELECT doc_id, chunk_index, term FROM candidates",
-        "topk_keywords": rf"""WITH {CLEAN}{TOKENS}, tf AS (SELECT doc_id, chunk_index, word, count(*) AS tf FROM (SELECT doc_id, chunk_index, unnest(ts) AS word FROM tokens) GROUP BY ALL),
-            nn AS (SELECT doc_id, chunk_index, sum(tf * tf) AS n FROM tf GROUP BY ALL),
-            ow AS (SELECT doc_id, chunk_index, term, word, count(*) AS own FROM (SELECT doc_id, chunk_index, term, unnest(string_split(term, ' ')) AS word FROM candidates) GROUP BY ALL),
-            dd AS (SELECT doc_id, chunk_index, term, sum(own * tf) AS dot, sum(own * own) AS n1 FROM ow JOIN tf USING (doc_id, chunk_index, word) GROUP BY ALL),
-            sc AS (SELECT doc_id, chunk_index, term, round(dot::DOUBLE / sqrt(n1::DOUBLE * n), 4) AS score FROM dd JOIN nn USING (doc_id, chunk_index)),
-            rk AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY score DESC, term) - 1)::INTEGER AS ord FROM sc)
-            SELECT doc_id, chunk_index, ord, term, score FROM rk WHERE ord < 15 AND NOT regexp_matches(term, '(?:^|[^\p{{L}}\p{{N}}_])(?:{BAD_KEYWORDS})(?:[^\p{{L}}\p{{N}}_]|$)')""",
+        "topk_keywords": f"WITH {CLEAN}{TOKENS}{top}",
+        "pipeline_keywords": f"WITH RECURSIVE {CLEAN}{SIMS}{CHUNKED}{TOKENS.replace(LISTED, SEGMENTED)}{top}",
         "cosine_pairs": f"""WITH r AS (SELECT doc_id, page, embedding AS e FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY indexed_at DESC, index_id DESC) AS rn FROM page_index WHERE embedding IS NOT NULL) WHERE rn = 1),
             p AS (SELECT doc_id, page, e, lag(e) OVER (PARTITION BY doc_id ORDER BY page) AS f FROM r), c AS (SELECT doc_id, page, {cosine} AS sim FROM p WHERE f IS NOT NULL)
             SELECT doc_id, page, round(sim, 6) AS cosine, round(greatest(1 - sim, 0), 6) AS distance FROM c""",
@@ -244,10 +254,13 @@ SELECT g.doc_id, g.chunk_index, chr(10) || '===== KEYWORD CLUSTERS FOR ' || labe
         "coherent_documents": coherence.replace("embeddings", "(SELECT doc_id AS label, embedding FROM page_index WHERE embedding IS NOT NULL)") + " SELECT label AS doc_id, n_members, coherence FROM k WHERE coherence >= 0.05",
         "cluster_report": report,
         "prompt": f"""WITH {CLEAN}{TOC}, {TERMS.strip()}, toc_text AS (SELECT doc_id, string_agg(text || chr(10), '' ORDER BY page_number) AS t FROM block JOIN texts USING (doc_id, page_number) WHERE in_toc_block GROUP BY doc_id),
-            sec AS (SELECT l.doc_id, l.chunk_index, chr(10) || '  ' || label || chr(10) || coalesce(string_agg('    - ' || term || chr(10), '' ORDER BY ord, term), '') AS s FROM labels l LEFT JOIN terms USING (doc_id, chunk_index) GROUP BY l.doc_id, l.chunk_index, label),
-            pr AS (SELECT doc_id, {quoted(head)} || coalesce(max(t), '') || {quoted(middle)} || string_agg(s, '' ORDER BY chunk_index) || {quoted(tail)} AS prompt FROM sec LEFT JOIN toc_text USING (doc_id) GROUP BY doc_id)
-            SELECT doc_id, prompt, CASE WHEN length(prompt) > 20000 THEN 'prompt_too_large' ELSE 'ok' END AS status FROM pr""",
+            sec AS (SELECT l.doc_id, l.chunk_index, chr(10) || '  ' || label || chr(10) || string_agg('    - ' || term || chr(10), '' ORDER BY ord, term) AS s FROM labels l JOIN terms USING (doc_id, chunk_index) GROUP BY l.doc_id, l.chunk_index, label),
+            pr AS (SELECT d.doc_id, {quoted(head)} || coalesce(max(t), '') || {quoted(middle)} || coalesce(string_agg(s, '' ORDER BY chunk_index), '') || {quoted(tail)} AS p
+              FROM (SELECT DISTINCT doc_id FROM labels) d LEFT JOIN sec USING (doc_id) LEFT JOIN toc_text USING (doc_id) GROUP BY d.doc_id)
+            SELECT doc_id, length(p) AS n_chars, CASE WHEN length(p) <= 20000 THEN p END AS prompt, CASE WHEN length(p) > 20000 THEN 'prompt_too_large' ELSE 'ok' END AS status FROM pr""",
         "verify_concepts": f"WITH {WORDS} SELECT a.doc_id, a.name AS concept, coalesce(sim, 0) >= 0.5 AS found, round(coalesce(sim, 0), 3) AS score, page AS best_page FROM asked a LEFT JOIN best USING (doc_id, name)",
+        "canary_check": f"WITH {WORDS} SELECT a.doc_id, a.name AS concept, coalesce(sim, 0) >= 0.5 AS found, round(coalesce(sim, 0), 3) AS score, page AS best_page FROM asked a LEFT JOIN best USING (doc_id, name)".replace(
+            WORDS[WORDS.index("asked AS"):WORDS.index("own AS")], "asked AS (SELECT DISTINCT doc_id, 'quantum entanglement theory' AS name FROM page_index),\n"),
         "clean_concepts": f"WITH {FOUND} SELECT concept_id, doc_id, name, array_to_string(prerequisites, '|') AS prerequisites FROM kept",
         "flagged_concepts": f"WITH {FOUND} SELECT concept_id, doc_id, item FROM flagged WHERE kind = 'concept'",
         "flagged_all": f"WITH {FOUND} SELECT concept_id, doc_id, kind, ord, item FROM flagged",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.operators import chunking, cleaning, concepts, hierarchy, keywords, orphans, reports
+from pagewright.plans import pipeline
 from pagewright.runtime import materialize
 from pagewright.sources.tables import table
 
@@ -45,19 +46,28 @@ def tokens(s: SparkSession, d: str) -> DataFrame:
     return keywords.chunk_tokens(texts(s, d), table(s, d, "stop_words"))
 
 
+def index(s: SparkSession, d: str) -> DataFrame:
+    return concepts.given_index(table(s, d, "page_index"))
+
+
 def found(s: SparkSession, d: str) -> DataFrame:
     return concepts.found_names(table(s, d, "verification"))
 
 
 def checked(s: SparkSession, d: str) -> DataFrame:
     """Names and prerequisites, all checked against the pages here and not looked up in a given table."""
-    return concepts.verification(concepts.items(table(s, d, "concepts")), table(s, d, "page_index"), table(s, d, "stop_words"))
+    return concepts.verification(concepts.items(table(s, d, "concepts")), index(s, d), table(s, d, "stop_words"))
 
 
 def checked_found(s: SparkSession, d: str) -> DataFrame:
     return materialize(checked(s, d).filter("found").select("doc_id", F.col("concept").alias("name")))
 
 
+def whole_run(s: SparkSession, d: str) -> pipeline.Run:
+    """All stages by the offline providers, with the self-check concept."""
+    return pipeline.run(pages(s, d), table(s, d, "stop_words"), canary=True)
+
+
 def prompt_inputs(s: SparkSession, d: str) -> DataFrame:
     """Prompts with the best keywords of each chunk in the place of cluster names."""
     names = keywords.distinct_keywords(table(s, d, "keywords")).select(
@@ -118,7 +128,7 @@ def queries() -> dict[str, Query]:
         "cluster_report": lambda s, d: reports.cluster_report(listed_clusters(s, d)),
         "prompt": prompt_inputs,
         "verify_concepts": lambda s, d: concepts.verification(
-            concepts.current(table(s, d, "concepts")).select("doc_id", cleaning.squeeze("name").alias("name")), table(s, d, "page_index"), table(s, d, "stop_words")),
+            concepts.current(table(s, d, "concepts")).select("doc_id", cleaning.squeeze("name").alias("name")), index(s, d), table(s, d, "stop_words")),
         "verify_items": checked,
         "verified_clean": lambda s, d: concepts.clean_concepts(table(s, d, "concepts"), checked_found(s, d)).select(
             "concept_id", "doc_id", "name", F.array_join("prerequisites", "|").alias("prerequisites")),
@@ -127,6 +137,11 @@ def queries() -> dict[str, Query]:
             "concept_id", "doc_id", "name", F.array_join("prerequisites", "|").alias("prerequisites")),
         "flagged_concepts": lambda s, d: concepts.flagged(table(s, d, "concepts"), found(s, d)).filter("kind = 'concept'").select("concept_id", "doc_id", "item"),
         "flagged_all": lambda s, d: concepts.flagged(table(s, d, "concepts"), found(s, d)),
+        "canary_check": lambda s, d: concepts.verification(
+            concepts.canary(table(s, d, "page_index").select("doc_id").distinct()).select("doc_id", "name"), index(s, d), table(s, d, "stop_words")),
+        "pipeline_keywords": lambda s, d: pipeline.keyword_stages(pages(s, d), table(s, d, "stop_words"))[2],
+        "pipeline_report": lambda s, d: whole_run(s, d).report,
+        "pipeline_metrics": lambda s, d: whole_run(s, d).metrics,
         "concept_report": lambda s, d: reports.concept_report(
             concepts.clean_concepts(table(s, d, "concepts"), found(s, d)), concepts.flagged(table(s, d, "concepts"), found(s, d))),
     }

@@ -1,3 +1,4 @@
+import json
 from datetime import datetime
 
 from conftest import rows
@@ -27,25 +28,36 @@ def test_clean_and_flagged(spark):
 
 
 def test_replies(spark):
-    raw = spark.createDataFrame([(1, "D", '```json\n{"concepts": [{"name": "a", "prerequisites": []}]}\n```'), (2, "D", 'Here you go: {"concepts": []}'), (3, "D", None), (4, "D", ""), (5, "D", '{"concepts": []}')], "reply_id bigint, doc_id string, raw string")
+    raw = spark.createDataFrame([(1, "D", '```json\n{"concepts": [{"name": "a", "prerequisites": []}]}\n```'), (2, "D", 'Here you go: {"concepts": []}'), (3, "D", None), (4, "D", ""), (5, "D", '{"concepts": []}'), (6, "D", '{"concepts": [{"name": "a"}]}'), (7, "D", "[1]")], "reply_id bigint, doc_id string, raw string")
     got = {r.reply_id: (r.status, r.n_concepts) for r in concepts.parse_replies(raw).collect()}
-    assert got == {1: ("ok", 1), 2: ("json_error", 0), 3: ("json_error", 0), 4: ("json_error", 0), 5: ("ok", 0)}
+    assert got == {1: ("ok", 1), 2: ("json_error", 0), 3: ("llm_error", 0), 4: ("json_error", 0), 5: ("ok", 0), 6: ("llm_error", 0), 7: ("llm_error", 0)}
 
 
 def test_canary_is_flagged_alone(spark):
     pages = spark.createDataFrame([("D", 1, "counting cubes and sums with small cubes", NOW, 1)], "doc_id string, page int, text string, indexed_at timestamp, index_id bigint")
     stops = spark.createDataFrame([("en", "and"), ("en", "with")], "lang string, word string")
     probe = concepts.canary(pages.select("doc_id")).select("doc_id", "name").union(spark.createDataFrame([("D", "small cubes")], "doc_id string, name string"))
-    got = {r.concept: (r.found, r.best_page) for r in concepts.verification(probe, pages, stops).collect()}
+    got = {r.concept: (r.found, r.best_page) for r in concepts.verification(probe, concepts.given_index(pages), stops).collect()}
     assert got == {"quantum entanglement theory": (False, None), "small cubes": (True, 1)}
 
 
 def test_prompt_guard(spark):
-    chunks = spark.createDataFrame([("D", 0, "CHUNK 1 (Pages 1–2)"), ("E", 0, None)], "doc_id string, chunk_index int, label string")
-    names = spark.createDataFrame([("D", 0, 0, "x" * 20_000), ("E", 0, 0, None)], "doc_id string, chunk_index int, name_ord int, name string")
+    # Of F, chunk 0 has no keywords and does not appear; chunk 1 lost its clusters to the filter and stays without any.
+    chunks = spark.createDataFrame([("D", 0, "CHUNK 1 (Pages 1–2)"), ("E", 0, None), ("F", 0, "C1"), ("F", 1, "C2"), ("F", 2, "C3")], "doc_id string, chunk_index int, label string")
+    names = spark.createDataFrame([("D", 0, 0, "x" * 20_000), ("E", 0, 0, None), ("F", 1, 0, None), ("F", 2, 1, "b"), ("F", 2, 0, "a")], "doc_id string, chunk_index int, name_ord int, name string")
     toc = spark.createDataFrame([("E", "contents\n")], "doc_id string, toc_context string")
-    got = {r.doc_id: (r.status, r.prompt) for r in concepts.prompts(chunks, names, toc).collect()}
-    assert got["D"][0] == "prompt_too_large" and got["E"][0] == "ok" and "contents\n" in got["E"][1]
+    got = {r.doc_id: r for r in concepts.prompts(chunks, names, toc).collect()}
+    assert got["D"].status == "prompt_too_large" and got["D"].prompt is None and got["E"].status == "ok" and "contents\n" in got["E"].prompt
+    assert "\n  C2\n\n  C3\n    - a\n    - b\n" in got["F"].prompt and "C1" not in got["F"].prompt
+    assert all(len(r.prompt) == r.n_chars for r in got.values() if r.prompt)
+
+
+def test_extra_keys_survive(spark):
+    raw = spark.createDataFrame([("D", '{"concepts": [{"grade": 4, "name": "sums", "prerequisites": ["a", "b"]}, {"name": null, "prerequisites": []}]}'), ("E", "no")], "doc_id string, raw string")
+    got = concepts.reply_concepts(raw).collect()
+    assert [(r.doc_id, r.ord, r.name, r.prerequisites, r.extra) for r in got] == [("D", 0, "sums", ["a", "b"], '{"grade":"4"}'), ("D", 1, None, [], None)]
+    graph = reports.concepts_json(concepts.reply_concepts(raw).withColumnRenamed("ord", "concept_id"))
+    assert json.loads(graph.first().value) == {"concepts": [{"name": "sums", "prerequisites": ["a", "b"], "grade": "4"}, {"prerequisites": []}]}
 
 
 def test_prerequisites_are_checked(spark, tmp_path):

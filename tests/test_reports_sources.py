@@ -18,7 +18,10 @@ def test_files_and_sinks(spark, tmp_path):
     assert rows(got) == [(0, "page one"), (1, "page two")]
     concepts = spark.createDataFrame([("D", "Sums", ["Counting"])], "doc_id string, name string, prerequisites array<string>")
     reports.write_concepts(concepts, str(tmp_path / "out"))
-    assert rows(spark.read.text(str(tmp_path / "out")).select("value")) == [('{"name":"Sums","prerequisites":["Counting"]}',)]
+    assert rows(spark.read.text(str(tmp_path / "out")).select("value")) == [('{"concepts":[{"name":"Sums","prerequisites":["Counting"]}]}',)]
+    lines = spark.createDataFrame([("D", 1, None, -1, "second"), ("D", 0, None, -1, "first")], "doc_id string, part int, concept_id bigint, ord int, line string")
+    reports.write_report(lines, str(tmp_path / "report"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "report")).select("value").coalesce(1).collect()] == ["first", "second"]
 
 
 def test_provider_keeps_failures(spark):
