@@ -8,7 +8,7 @@ A word is cut from the text as it stands and then folded, so that folding can pa
 word. The set has words as numbers: a window is tried only where all its words occur
 in items, and what it is tried with are its words themselves, so a hit is verified.
 Rows have no expression that looks a window up in a set, and a row per window would
-cost more than the whole scan (measured: four times), so batches of texts go to Python.
+cost more than the whole scan, so batches of texts go to Python.
 """
 
 from __future__ import annotations

@@ -272,7 +272,8 @@ def classified(documents: DataFrame) -> DataFrame:
     # Counts are combined on the map side per message and source, then over the sources.
     per_source = messages(documents).groupBy("message", "source").agg(F.count(F.lit(1)).alias("n"))
     groups = per_source.groupBy("message").agg(F.sum("n").alias("n_docs"), F.count("source").alias("n_sources"))
-    kind = F.pandas_udf(kinds, "string")
+    # The rules depend on the message only, so the optimizer would try them on every occurrence, below the grouping; marked as not deterministic they stay above it.
+    kind = F.pandas_udf(kinds, "string").asNondeterministic()
     bad = groups.withColumn("kind", kind("message")).filter(F.col("kind").isNotNull() & ((F.col("kind") != "recurring") | (F.col("n_docs") > 1)))
     return bad.withColumn("kind", F.when(F.col("kind") == "recurring", "error").otherwise(F.col("kind")))
 
