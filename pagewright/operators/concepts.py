@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from pagewright.functions.vectors import cosine
 from pagewright.operators.chunking import Embedder
 from pagewright.operators.cleaning import clean_pages, strip_fences
+from pagewright.operators.nearest import PAGE_BLOCK, nearest_in_blocks
 from pagewright.runtime import materialize
 
 MAX_PROMPT, FOUND_AT = 20_000, 0.5
-WORD = r"[\p{L}\p{N}]+"
+NO_WORD = r"[^\p{L}\p{N}]+"
 #: A concept that no curriculum page supports, for self-checks.
 CANARY = ("quantum entanglement theory", ["relativistic calculus", "wave function collapse"])
 
@@ -131,37 +132,43 @@ def canary(doc_ids: DataFrame) -> DataFrame:
     return doc_ids.select("doc_id", F.lit(name).alias("name"), F.array(*map(F.lit, prerequisites)).alias("prerequisites"))
 
 
-def word_counts(rows: DataFrame, keys: list[str], text: Column, stops: DataFrame) -> DataFrame:
-    """The stop list is joined as the planner sees fit: it is broadcast only if its size allows."""
-    words = rows.select(*keys, F.explode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("word"))
-    return words.join(stops, "word", "left_anti").groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def given_index(page_index: DataFrame) -> DataFrame:
     """doc_id, page, text of an indexed table: pages of more than 20 characters, of those indexed twice the last."""
     return page_index.filter(F.length("text") > 20).groupBy("doc_id", "page").agg(F.max_by("text", F.struct("indexed_at", "index_id")).alias("text"))
 
 
+def given_versions(page_index: DataFrame) -> DataFrame:
+    """doc_id, page, text, version: as given_index, but with all rows of a page; nearest_by_words takes the last version."""
+    return page_index.filter(F.length("text") > 20).select("doc_id", "page", "text", F.struct("indexed_at", "index_id").alias("version"))
+
+
 def built_index(pages: DataFrame) -> DataFrame:
     """doc_id, page (1-based), text: the cleaned pages of more than 20 characters."""
     return clean_pages(pages).filter(F.length("text") > 20).select("doc_id", (F.col("page_number") + 1).alias("page"), "text")
 
 
 def nearest_by_words(asked: DataFrame, index: DataFrame, stop_words: DataFrame) -> DataFrame:
-    """doc_id, name, page, sim of names and pages that share a word: cosine of word counts.
+    """doc_id, name, page, sim: each name's nearest page in every block of pages of its document, by the cosine of word counts.
 
-    Names and pages meet by word and are reduced in an aggregation, never listed. A
-    word that is frequent in a hot document is split on both sides by the adaptive
-    skew join.
+    A name that shares no word with a block has a null page and sim there; every name has
+    one row at least. Texts are shuffled once, by document and block, and names follow
+    them: to block 0, and to the further blocks of their document. Names and pages that
+    share a word are never listed (WordBlock). The stop list goes to every task.
     """
-    stops = stop_words.select(F.lower("word").alias("word")).distinct()
-    own = word_counts(asked, ["doc_id", "name"], F.col("name"), stops)
-    theirs = word_counts(index, ["doc_id", "page"], F.col("text"), stops)
-    own_norm = own.groupBy("doc_id", "name").agg(F.sum(F.col("tf") * F.col("tf")).alias("n1"))
-    page_norm = theirs.groupBy("doc_id", "page").agg(F.sum(F.col("tf") * F.col("tf")).alias("n2"))
-    dots = own.withColumnRenamed("tf", "own").join(theirs, ["doc_id", "word"]).groupBy("doc_id", "name", "page").agg(F.sum(F.col("own") * F.col("tf")).alias("dot"))
-    return dots.join(own_norm, ["doc_id", "name"]).join(page_norm, ["doc_id", "page"]).withColumn(
-        "sim", F.col("dot").cast("double") / F.sqrt(F.col("n1").cast("double") * F.col("n2")))
+    stops = frozenset(r.word for r in stop_words.select(F.lower("word").alias("word")).filter("word IS NOT NULL").distinct().collect())
+    placed = index.filter(F.col("doc_id").isNotNull() & F.col("page").isNotNull()).withColumn("block", F.floor(F.col("page") / PAGE_BLOCK))
+    # Written once: its size tells the planner whether it can be broadcast.
+    further = materialize(placed.filter("block <> 0").groupBy("doc_id").agg(F.collect_set("block").alias("blocks")))
+    version = F.col("version") if "version" in index.columns else F.lit(0)
+    theirs = placed.select("doc_id", "block", F.lit(0).alias("kind"), "page", version.alias("version"), "text")
+    kinds = {f.name: f.dataType for f in theirs.schema}
+    places = F.concat(F.array(F.lit(0).cast("bigint")), F.coalesce("blocks", F.array().cast("array<bigint>")))
+    own = asked.join(further, "doc_id", "left").select("doc_id", F.explode(places).alias("block"), "name").select(
+        "doc_id", "block", F.lit(1).alias("kind"), *[F.lit(None).cast(kinds[c]).alias(c) for c in ("page", "version")], F.col("name").alias("text"))
+    met = theirs.unionByName(own).repartition("doc_id", "block").sortWithinPartitions("doc_id", "block", "kind", "page", "version")
+    words = F.regexp_replace(F.lower("text"), NO_WORD, " ").alias("words")
+    rows = met.select("doc_id", "block", "kind", "page", F.when(F.col("kind") == 1, F.col("text")).alias("name"), words)
+    return rows.mapInArrow(lambda batches: nearest_in_blocks(batches, stops), "doc_id string, name string, page int, sim double")
 
 
 def nearest_by_vectors(asked: DataFrame, index: DataFrame, embed: Embedder, block: int = 256) -> DataFrame:
@@ -184,9 +191,12 @@ def verify(names: DataFrame, index: DataFrame, stop_words: DataFrame | None = No
     compared once however often they occur. Of equal pages the first counts.
     """
     asked = names.filter(F.col("name").isNotNull()).select("doc_id", "name").distinct()
-    sims = nearest_by_words(asked, index, stop_words) if embed is None else nearest_by_vectors(asked, index, embed)
+    if embed is None:
+        sims = nearest_by_words(asked, index, stop_words)
+    else:
+        sims = asked.join(nearest_by_vectors(asked, index, embed), ["doc_id", "name"], "left")
     best = sims.groupBy("doc_id", "name").agg(F.max("sim").alias("best"), F.max_by("page", F.struct("sim", -F.col("page"))).alias("best_page"))
-    return asked.join(best, ["doc_id", "name"], "left").select("doc_id", "name", F.coalesce("best", F.lit(0.0)).alias("best"), "best_page")
+    return best.select("doc_id", "name", F.coalesce("best", F.lit(0.0)).alias("best"), "best_page")
 
 
 def verification(names: DataFrame, index: DataFrame, stop_words: DataFrame | None = None, threshold: float = FOUND_AT, embed: Embedder | None = None) -> DataFrame:

@@ -47,7 +47,7 @@ def tokens(s: SparkSession, d: str) -> DataFrame:
 
 
 def index(s: SparkSession, d: str) -> DataFrame:
-    return concepts.given_index(table(s, d, "page_index"))
+    return concepts.given_versions(table(s, d, "page_index"))
 
 
 def found(s: SparkSession, d: str) -> DataFrame:
