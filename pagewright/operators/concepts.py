@@ -212,8 +212,8 @@ def current(concepts: DataFrame) -> DataFrame:
 
 def items(concepts: DataFrame) -> DataFrame:
     """(doc_id, name), distinct: what is to be checked, each current concept's name and each of its prerequisites, as written."""
-    rows = current(concepts)
-    return rows.select("doc_id", "name").union(rows.select("doc_id", F.explode("prerequisites").alias("name"))).filter(F.col("name").isNotNull()).distinct()
+    asked = F.concat(F.array("name"), F.coalesce("prerequisites", F.array().cast("array<string>")))
+    return current(concepts).select("doc_id", F.explode(asked).alias("name")).filter(F.col("name").isNotNull()).distinct()
 
 
 def found_names(verified: DataFrame) -> DataFrame:
