@@ -29,7 +29,7 @@ def shuffled_rows(spark, run):
     return sum(n for stage, n in stages().items() if stage not in before)
 
 
-@pytest.mark.parametrize("query", ["verify_concepts", "verify_items", "verified_clean"])
+@pytest.mark.parametrize("query", ["verify_concepts", "verify_items", "verified_clean", "verified_flagged"])
 def test_names_and_pages_of_a_hot_document_are_not_listed(spark, tmp_path, query):
     # All 300 names share a word with all 300 pages: 90,000 pairs.
     tables = {
