@@ -150,8 +150,8 @@ def built_index(pages: DataFrame) -> DataFrame:
 def nearest_by_words(asked: DataFrame, index: DataFrame, stop_words: DataFrame) -> DataFrame:
     """doc_id, name, page, sim: each name's nearest page in every block of pages of its document, by the cosine of word counts.
 
-    A name that shares no word with a block has a null page and sim there; every name has
-    one row at least. Texts are shuffled once, by document and block, and names follow
+    A name that shares no word with block 0 has a null page and sim there, so that every
+    name has one row at least. Texts are shuffled once, by document and block, and names follow
     them: to block 0, and to the further blocks of their document. Names and pages that
     share a word are never listed (WordBlock). The stop list goes to every task.
     """

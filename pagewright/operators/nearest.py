@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Pages of one block: what a task holds at once. Names of a document meet each of its blocks.
-PAGE_BLOCK = 4096
+PAGE_BLOCK = 8192
 #: Rows turned into Python objects at once; answers and word vectors kept for a block.
 ROWS, ANSWERS, VECTORS = 512, 50_000, 1024
 Bag = tuple[int, tuple[tuple[int, int], ...]]
@@ -100,7 +100,10 @@ class WordBlock:
 
 
 def nearest_in_blocks(batches: Iterator[pa.RecordBatch], stops: frozenset[str]) -> Iterator[pa.RecordBatch]:
-    """doc_id, name, page, sim for rows (doc_id, block, kind, page, name, words separated by spaces) in order of doc_id, block, kind (pages 0, names 1) and page."""
+    """doc_id, name, page, sim for rows (doc_id, block, kind, page, name, words separated by spaces) in order of doc_id, block, kind (pages 0, names 1) and page.
+
+    Names without a near page have a row in block 0 only, where all names are.
+    """
     key, block = None, WordBlock(stops)
     for whole in batches:
         for start in range(0, whole.num_rows, ROWS):
@@ -115,8 +118,10 @@ def nearest_in_blocks(batches: Iterator[pa.RecordBatch], stops: frozenset[str])
                         block.add(pages[i], words[i])
                 else:
                     for i in run:
-                        asked.append(i)
-                        out.append(block.answer(words[i]))
+                        found = block.answer(words[i])
+                        if number == 0 or found[0] is not None:
+                            asked.append(i)
+                            out.append(found)
             if asked:
                 taken = batch.take(pa.array(asked))
                 yield pa.RecordBatch.from_arrays(
