@@ -147,27 +147,36 @@ def built_index(pages: DataFrame) -> DataFrame:
     return clean_pages(pages).filter(F.length("text") > 20).select("doc_id", (F.col("page_number") + 1).alias("page"), "text")
 
 
+def spaced(c: str) -> Column:
+    """The words of a text in lower case, separated by spaces."""
+    return F.regexp_replace(F.lower(c), NO_WORD, " ")
+
+
 def nearest_by_words(asked: DataFrame, index: DataFrame, stop_words: DataFrame) -> DataFrame:
     """doc_id, name, page, sim: each name's nearest page in every block of pages of its document, by the cosine of word counts.
 
-    A name that shares no word with block 0 has a null page and sim there, so that every
-    name has one row at least. Texts are shuffled once, by document and block, and names follow
-    them: to block 0, and to the further blocks of their document. Names and pages that
-    share a word are never listed (WordBlock). The stop list goes to every task.
+    A document has as many blocks as PAGE_BLOCK of its pages need, whatever their numbers
+    are; a page's versions are in one. A name that shares no word with block 0 has a null
+    page and sim there, so that every name has one row at least. Words are shuffled once,
+    by document and block, and names follow them: to block 0, and to the further blocks of
+    their document. Names and pages that share a word are never listed (WordBlock). The
+    stop list goes to every task.
     """
     stops = frozenset(r.word for r in stop_words.select(F.lower("word").alias("word")).filter("word IS NOT NULL").distinct().collect())
-    placed = index.filter(F.col("doc_id").isNotNull() & F.col("page").isNotNull()).withColumn("block", F.floor(F.col("page") / PAGE_BLOCK))
-    # Written once: its size tells the planner whether it can be broadcast.
-    further = materialize(placed.filter("block <> 0").groupBy("doc_id").agg(F.collect_set("block").alias("blocks")))
+    paged = index.filter(F.col("doc_id").isNotNull() & F.col("page").isNotNull())
+    counts = paged.select("doc_id", "page").distinct().groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / PAGE_BLOCK).alias("n_blocks"))
+    # At most one row per PAGE_BLOCK pages, so it can be broadcast; written once, as pages and names read it.
+    further = F.broadcast(materialize(counts.filter("n_blocks > 1")))
     version = F.col("version") if "version" in index.columns else F.lit(0)
-    theirs = placed.select("doc_id", "block", F.lit(0).alias("kind"), "page", version.alias("version"), "text")
+    n_blocks = F.coalesce("n_blocks", F.lit(1))
+    theirs = paged.join(further, "doc_id", "left").select(
+        "doc_id", F.pmod(F.xxhash64("page"), n_blocks).alias("block"), F.lit(0).alias("kind"), "page", version.alias("version"), spaced("text").alias("text"))
     kinds = {f.name: f.dataType for f in theirs.schema}
-    places = F.concat(F.array(F.lit(0).cast("bigint")), F.coalesce("blocks", F.array().cast("array<bigint>")))
-    own = asked.join(further, "doc_id", "left").select("doc_id", F.explode(places).alias("block"), "name").select(
+    own = asked.join(further, "doc_id", "left").select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks - 1)).alias("block"), "name").select(
         "doc_id", "block", F.lit(1).alias("kind"), *[F.lit(None).cast(kinds[c]).alias(c) for c in ("page", "version")], F.col("name").alias("text"))
     met = theirs.unionByName(own).repartition("doc_id", "block").sortWithinPartitions("doc_id", "block", "kind", "page", "version")
-    words = F.regexp_replace(F.lower("text"), NO_WORD, " ").alias("words")
-    rows = met.select("doc_id", "block", "kind", "page", F.when(F.col("kind") == 1, F.col("text")).alias("name"), words)
+    asks = F.col("kind") == 1
+    rows = met.select("doc_id", "block", "kind", "page", F.when(asks, F.col("text")).alias("name"), F.when(asks, spaced("text")).otherwise(F.col("text")).alias("words"))
     return rows.mapInArrow(lambda batches: nearest_in_blocks(batches, stops), "doc_id string, name string, page int, sim double")
 
 
@@ -205,6 +214,16 @@ def verification(names: DataFrame, index: DataFrame, stop_words: DataFrame | Non
         "doc_id", F.col("name").alias("concept"), (F.col("best") >= threshold).alias("found"), F.round("best", 3).alias("score"), "best_page")
 
 
+def supported(names: DataFrame, index: DataFrame, stop_words: DataFrame, threshold: float = FOUND_AT) -> DataFrame:
+    """(doc_id, name), distinct: the names that verification finds by word counts, without the scores and pages of all.
+
+    A name is found where a block has a page that is near enough, so what is not near
+    goes no further. The threshold must be above 0, which names without any page have.
+    """
+    asked = names.filter(F.col("name").isNotNull()).select("doc_id", "name").distinct()
+    return nearest_by_words(asked, index, stop_words).filter(F.col("sim") >= threshold).select("doc_id", "name").distinct()
+
+
 def current(concepts: DataFrame) -> DataFrame:
     """The concepts that count: not deleted, with a document and a name."""
     return concepts.filter(F.col("deleted_at").isNull() & F.col("doc_id").isNotNull() & F.col("name").isNotNull()).select("concept_id", "doc_id", "name", "prerequisites", *([c for c in ("extra",) if c in concepts.columns]))

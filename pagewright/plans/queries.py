@@ -60,7 +60,7 @@ def checked(s: SparkSession, d: str) -> DataFrame:
 
 
 def checked_found(s: SparkSession, d: str) -> DataFrame:
-    return materialize(checked(s, d).filter("found").select("doc_id", F.col("concept").alias("name")))
+    return materialize(concepts.supported(concepts.items(table(s, d, "concepts")), index(s, d), table(s, d, "stop_words")))
 
 
 def whole_run(s: SparkSession, d: str) -> pipeline.Run:

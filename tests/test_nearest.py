@@ -47,6 +47,32 @@ def test_names_and_pages_of_a_hot_document_are_not_listed(spark, tmp_path, query
     assert len(got) >= 300
 
 
+def test_page_numbers_far_apart_make_no_blocks(spark, tmp_path):
+    # 300 pages fit into one block, whatever numbers they bear: each of the 900 names meets one block, not 300.
+    tables = {
+        "concepts": spark.createDataFrame([(i, "D", f"sums of n{i}", [f"sums of m{i}", f"page {i}"], None) for i in range(300)], C),
+        "page_index": spark.createDataFrame([("D", i * 1_000_000, f"page {i} " * 9, NOW, i) for i in range(300)], P),
+        "stop_words": spark.createDataFrame([("en", "of")], "lang string, word string")}
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = []
+    assert shuffled_rows(spark, lambda: got.extend(queries.queries()["verified_flagged"](spark, str(tmp_path)).collect())) < 3_000
+    assert len(got) == 300
+
+
+def test_supported_are_the_found_of_verification(spark, monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(concepts, "PAGE_BLOCK", 4)
+    text = lambda n: " ".join(f"w{rng.randrange(9)}" for _ in range(n))
+    given = spark.createDataFrame([(rng.choice("DE"), rng.randrange(30) << 20, text(rng.randrange(8, 20)), NOW + timedelta(days=rng.randrange(3)), i) for i in range(90)], P)
+    asked = spark.createDataFrame([(rng.choice("DEF"), text(rng.randrange(4))) for _ in range(90)] + [("D", None)], "doc_id string, name string")
+    stops = spark.createDataFrame([("en", "w0")], "lang string, word string")
+    checks = concepts.verification(asked, concepts.given_versions(given), stops).collect()
+    want = sorted((r.doc_id, r.concept) for r in checks if r.found)
+    assert sorted(tuple(r) for r in concepts.supported(asked, concepts.given_versions(given), stops).collect()) == want
+    assert 10 < len(want) < len(checks) - 10
+
+
 def test_nearest_page_equals_brute_force(spark, monkeypatch):
     rng = random.Random(2)
     monkeypatch.setattr(concepts, "PAGE_BLOCK", 4)
