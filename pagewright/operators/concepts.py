@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagewright.functions.vectors import cosine
 from pagewright.operators.chunking import Embedder
 from pagewright.operators.cleaning import clean_pages, strip_fences
-from pagewright.operators.nearest import PAGE_BLOCK, nearest_in_blocks
+from pagewright.operators.nearest import PAGE_BLOCK, PLACES, WordFilter, nearest_in_blocks, page_bags
 from pagewright.runtime import materialize
 
 MAX_PROMPT, FOUND_AT = 20_000, 0.5
@@ -152,31 +152,45 @@ def spaced(c: str) -> Column:
     return F.regexp_replace(F.lower(c), NO_WORD, " ")
 
 
-def nearest_by_words(asked: DataFrame, index: DataFrame, stop_words: DataFrame) -> DataFrame:
-    """doc_id, name, page, sim: each name's nearest page in every block of pages of its document, by the cosine of word counts.
+def word_filter(names: DataFrame) -> WordFilter:
+    """The words of all names, in a filter of fixed size."""
+    words = names.select(F.explode(F.split(spaced("name"), " ")).alias("word"))
+    place = F.pmod(F.crc32("word"), F.lit(PLACES)) + 1  # Spark's buckets of places begin at 1
+    places = words.agg(F.collect_set(place).alias("places")).select(F.explode("places").alias("place"))  # one set of a task, of PLACES at most
+    bits = places.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    return WordFilter({r.bucket - 1: bytes(r.bits) for r in bits.collect()})
+
+
+def nearest_by_words(names: DataFrame, index: DataFrame, stop_words: DataFrame) -> DataFrame:
+    """doc_id, name, page, sim: each distinct name's nearest page in every block of pages of its document, by the cosine of word counts.
 
     A document has as many blocks as PAGE_BLOCK of its pages need, whatever their numbers
     are; a page's versions are in one. A name that shares no word with block 0 has a null
-    page and sim there, so that every name has one row at least. Words are shuffled once,
-    by document and block, and names follow them: to block 0, and to the further blocks of
-    their document. Names and pages that share a word are never listed (WordBlock). The
-    stop list goes to every task.
+    page and sim there, so that every name has one row at least. Of a page, only the words
+    that some name has, and the length of all, are shuffled once, by document and block;
+    names follow them: to block 0, and to the further blocks of their document. Names and
+    pages that share a word are never listed (WordBlock). The stop list and the filter of
+    words go to every task.
     """
     stops = frozenset(r.word for r in stop_words.select(F.lower("word").alias("word")).filter("word IS NOT NULL").distinct().collect())
+    named = names.filter(F.col("name").isNotNull()).select("doc_id", "name")
+    asked_words = word_filter(named)  # from all names, as distinct ones would be shuffled for it
     paged = index.filter(F.col("doc_id").isNotNull() & F.col("page").isNotNull())
     counts = paged.select("doc_id", "page").distinct().groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / PAGE_BLOCK).alias("n_blocks"))
     # At most one row per PAGE_BLOCK pages, so it can be broadcast; written once, as pages and names read it.
     further = F.broadcast(materialize(counts.filter("n_blocks > 1")))
     version = F.col("version") if "version" in index.columns else F.lit(0)
     n_blocks = F.coalesce("n_blocks", F.lit(1))
-    theirs = paged.join(further, "doc_id", "left").select(
-        "doc_id", F.pmod(F.xxhash64("page"), n_blocks).alias("block"), F.lit(0).alias("kind"), "page", version.alias("version"), spaced("text").alias("text"))
+    texts = paged.select("doc_id", "page", version.alias("version"), spaced("text").alias("words"))
+    bags = texts.mapInArrow(lambda batches: page_bags(batches, stops, asked_words), texts.withColumn("rest", F.lit(0).cast("bigint")).schema)
+    theirs = bags.join(further, "doc_id", "left").select(
+        "doc_id", F.pmod(F.xxhash64("page"), n_blocks).alias("block"), F.lit(0).alias("kind"), "page", "version", "rest", F.col("words").alias("text"))
     kinds = {f.name: f.dataType for f in theirs.schema}
-    own = asked.join(further, "doc_id", "left").select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks - 1)).alias("block"), "name").select(
-        "doc_id", "block", F.lit(1).alias("kind"), *[F.lit(None).cast(kinds[c]).alias(c) for c in ("page", "version")], F.col("name").alias("text"))
+    own = named.distinct().join(further, "doc_id", "left").select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks - 1)).alias("block"), "name").select(
+        "doc_id", "block", F.lit(1).alias("kind"), *[F.lit(None).cast(kinds[c]).alias(c) for c in ("page", "version", "rest")], F.col("name").alias("text"))
     met = theirs.unionByName(own).repartition("doc_id", "block").sortWithinPartitions("doc_id", "block", "kind", "page", "version")
     asks = F.col("kind") == 1
-    rows = met.select("doc_id", "block", "kind", "page", F.when(asks, F.col("text")).alias("name"), F.when(asks, spaced("text")).otherwise(F.col("text")).alias("words"))
+    rows = met.select("doc_id", "block", "kind", "page", "rest", F.when(asks, F.col("text")).alias("name"), F.when(asks, spaced("text")).otherwise(F.col("text")).alias("words"))
     return rows.mapInArrow(lambda batches: nearest_in_blocks(batches, stops), "doc_id string, name string, page int, sim double")
 
 
@@ -199,10 +213,10 @@ def verify(names: DataFrame, index: DataFrame, stop_words: DataFrame | None = No
     By word counts without stop words, or by the vectors of a provider. Names are
     compared once however often they occur. Of equal pages the first counts.
     """
-    asked = names.filter(F.col("name").isNotNull()).select("doc_id", "name").distinct()
     if embed is None:
-        sims = nearest_by_words(asked, index, stop_words)
+        sims = nearest_by_words(names, index, stop_words)
     else:
+        asked = names.filter(F.col("name").isNotNull()).select("doc_id", "name").distinct()
         sims = asked.join(nearest_by_vectors(asked, index, embed), ["doc_id", "name"], "left")
     best = sims.groupBy("doc_id", "name").agg(F.max("sim").alias("best"), F.max_by("page", F.struct("sim", -F.col("page"))).alias("best_page"))
     return best.select("doc_id", "name", F.coalesce("best", F.lit(0.0)).alias("best"), "best_page")
@@ -220,8 +234,7 @@ def supported(names: DataFrame, index: DataFrame, stop_words: DataFrame, thresho
     A name is found where a block has a page that is near enough, so what is not near
     goes no further. The threshold must be above 0, which names without any page have.
     """
-    asked = names.filter(F.col("name").isNotNull()).select("doc_id", "name").distinct()
-    return nearest_by_words(asked, index, stop_words).filter(F.col("sim") >= threshold).select("doc_id", "name").distinct()
+    return nearest_by_words(names, index, stop_words).filter(F.col("sim") >= threshold).select("doc_id", "name").distinct()
 
 
 def current(concepts: DataFrame) -> DataFrame:
@@ -230,9 +243,9 @@ def current(concepts: DataFrame) -> DataFrame:
 
 
 def items(concepts: DataFrame) -> DataFrame:
-    """(doc_id, name), distinct: what is to be checked, each current concept's name and each of its prerequisites, as written."""
+    """(doc_id, name): what is to be checked, each current concept's name and each of its prerequisites, as written; repeats are left to verification."""
     asked = F.concat(F.array("name"), F.coalesce("prerequisites", F.array().cast("array<string>")))
-    return current(concepts).select("doc_id", F.explode(asked).alias("name")).filter(F.col("name").isNotNull()).distinct()
+    return current(concepts).select("doc_id", F.explode(asked).alias("name")).filter(F.col("name").isNotNull())
 
 
 def found_names(verified: DataFrame) -> DataFrame:

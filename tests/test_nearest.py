@@ -1,5 +1,7 @@
 import math
+import pickle
 import random
+import zlib
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -60,6 +62,39 @@ def test_page_numbers_far_apart_make_no_blocks(spark, tmp_path):
     assert len(got) == 300
 
 
+def test_words_that_no_name_has_are_not_shuffled(spark, tmp_path):
+    # 300 pages of 300 words each, of which names ask for two: 6 KB in place of 600.
+    rng = random.Random(5)
+    tables = {
+        "concepts": spark.createDataFrame([(i, "D", f"sums of n{i}", [f"sums of m{i}"], None) for i in range(300)], C),
+        "page_index": spark.createDataFrame([("D", i, f"sums with n{i} " + " ".join(f"{rng.getrandbits(40):x}" for _ in range(300)), NOW, i) for i in range(300)], P),
+        "stop_words": spark.createDataFrame([("en", "of")], "lang string, word string")}
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    sc, got = spark.sparkContext, []
+
+    def written():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        jvm = sc._gateway.jvm
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    before = written()
+    got.extend(queries.queries()["verified_flagged"](spark, str(tmp_path)).collect())
+    assert sum(n for stage, n in written().items() if stage not in before) < 150_000
+    assert len(got) == 300
+
+
+def test_a_page_keeps_the_words_asked_for_and_its_length():
+    part = bytearray(4096)
+    at = zlib.crc32("sums".encode()) % nearest.PLACES
+    part[at % 32_768 >> 3] |= 1 << (at & 7)
+    asked = nearest.WordFilter({at // 32_768: bytes(part)})
+    rows = pa.Table.from_pylist([{"page": 1, "words": " sums a of sums b a a "}, {"page": 2, "words": ""}]).to_batches()
+    got = [r for b in nearest.page_bags(rows, frozenset(["of"]), pickle.loads(pickle.dumps(asked))) for r in b.to_pylist()]
+    assert got == [{"page": 1, "words": "sums sums", "rest": 10}, {"page": 2, "words": "", "rest": 0}]
+
+
 def test_supported_are_the_found_of_verification(spark, monkeypatch):
     rng = random.Random(4)
     monkeypatch.setattr(concepts, "PAGE_BLOCK", 4)
